@@ -13,7 +13,7 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -148,5 +148,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     edges = pairs.join(at("a"), "a").join(at("b"), "b").where(far <= most).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(spark, edges, "near-components")
     kept = whole.join(roots, whole.row == roots.node, "left").select(*cols, F.coalesce("root", "row").alias("component"))
-    discard(spark, None)
     return fps.join(kept, cols).select(F.col("doc_id").alias("row_id"), "component")
