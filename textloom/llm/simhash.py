@@ -18,25 +18,21 @@ from .common import connected_components, materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Shingles that are hashed and added up at once; bounds the memory for very long texts.
-BLOCK = 1 << 18
+BLOCK = 1 << 13
 
 
 def bit_counts(hashes, words: int):
     """How often each of the 64 * words bits is set; hashes: uint64. Word k > 0 is the hash mixed again."""
     import numpy as np
 
-    table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-    out = []
-    for k in range(words):
-        h = hashes
-        if k:
-            with np.errstate(over="ignore"):
-                h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h ^= h >> np.uint64(31)
-        octets = np.ascontiguousarray(h, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        out += [np.bincount(octets[:, i], minlength=256) @ table for i in range(8)]
-    return np.concatenate(out)
+    h = np.repeat(hashes[:, None], words, axis=1)
+    if words > 1:
+        k = np.arange(1, words, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            m = (h[:, 1:] ^ (k * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+            m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h[:, 1:] = m ^ (m >> np.uint64(31))
+    return np.unpackbits(np.ascontiguousarray(h, dtype="<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: bytes, shingle: int, words: int = 1):
@@ -88,7 +84,8 @@ def ball_links(keys: DataFrame, bits: int = 64) -> DataFrame:
     Each value emits all variants within half the radius (bits + 1 rows of fixed width). A group has at most bits + 1
     values; each is linked to the smallest. The links' components are those of all pairs within distance 2.
     """
-    emitted = keys.select("key", F.explode(F.array(*[F.lit(i) for i in range(-1, bits)])).alias("pos"))
+    spread = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # small rows that become many
+    emitted = spread.select("key", F.explode(F.array(*[F.lit(i) for i in range(-1, bits)])).alias("pos"))
     flip = F.expr("if(pos < 0, 0L, shiftleft(1L, pos))")
     groups = (
         emitted.select(F.col("key").bitwiseXOR(flip).alias("variant"), flip.alias("flip"))
@@ -121,25 +118,28 @@ def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3) -
     return fps.join(of_node, fps.fp_0 == of_node.key).select("doc_id", F.lower(F.lpad(F.hex("fp_0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, slices: int = 12) -> DataFrame:
     """row_id and component (smallest row_id reachable) of docs(row_id, text), for shingle sets of the given similarity.
 
-    64 * words bits of SimHash, cut into slices of 32. Two rows are candidates if a slice differs in at most 2 bits
-    (ball hashing within each slice), and linked if all bits together differ by no more than the similarity allows:
-    a Jaccard similarity j is a cosine of 2j/(1+j), and the share of differing bits is its angle over pi. Candidates
-    for the same slice value or the same variant are compared with the group's smallest row, not with each other, so
-    the work is linear in the rows; a row takes part in 2 * words slices, so that one stray group does no harm.
+    64 * words bits of SimHash, of which the first 32 * slices are cut into slices. Two rows are candidates if a slice
+    differs in at most 2 bits (ball hashing within each slice), and linked if all bits together differ by no more than
+    the similarity allows: a Jaccard similarity j is a cosine of 2j/(1+j), and the share of differing bits is its angle
+    over pi; one standard deviation of that estimate is added. Candidates of the same slice value or variant are
+    compared with the group's smallest row, not with each other, so the work is linear in the rows; a row takes part
+    in as many groups as there are slices, so that one stray group does no harm.
     """
     import math
 
-    most = round(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    bits = 64 * words
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = round(bits * share + math.sqrt(bits * share * (1 - share)))
     fps = materialize(spark, fingerprints(docs, shingle, words, doc_id="row_id"), "fingerprints")
     cols = [f"fp_{k}" for k in range(words)]
-    whole = fps.groupBy(*cols).agg(F.min("doc_id").alias("row"))
-    halves = [F.struct(F.expr(f"shiftleft({2 * k + j}L, 32) | (shiftright(fp_{k}, {32 * j}) & 4294967295L)").alias("key")) for k in range(words) for j in (0, 1)]
-    slices = whole.select("row", F.explode(F.array(*halves)).alias("s")).select("row", "s.key")
-    heads = materialize(spark, slices.groupBy("key").agg(F.min("row").alias("head")), "slice-heads")
-    same = slices.join(heads, "key").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
+    whole = materialize(spark, fps.groupBy(*cols).agg(F.min("doc_id").alias("row")), "distinct-fingerprints")
+    parts = [F.struct(F.expr(f"shiftleft({n}L, 32) | (shiftright(fp_{n // 2}, {32 * (n % 2)}) & 4294967295L)").alias("key")) for n in range(slices)]
+    sliced = whole.select("row", F.explode(F.array(*parts)).alias("s")).select("row", "s.key")
+    heads = materialize(spark, sliced.groupBy("key").agg(F.min("row").alias("head")), "slice-heads")
+    same = sliced.join(heads, "key").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
     links = ball_links(heads.select("key"), 32)
     near = links.join(heads.select(F.col("key").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("key").alias("v"), F.col("head").alias("b")), "v").where("a <> b").select("a", "b")
     pairs = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
