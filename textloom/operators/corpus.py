@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from .storage import spread
 
 KEY = ["question_id", "answer_id", "sentence_id"]
 
@@ -27,8 +28,9 @@ def answers(conversations: DataFrame) -> DataFrame:
 def sentences(answer_rows: DataFrame, merge: bool = False) -> DataFrame:
     """One row per sentence, numbered from 1 within its answer, with its normalised form, tokens and entities."""
     segs = T.segments(T.clean_html(F.col("article")))
-    cut = answer_rows.where("article IS NOT NULL").withColumn("segs", segs).withColumn("segs", T.merge_dangling(F.col("segs")) if merge else T.drop_dangling(F.col("segs")))
-    rows = cut.select("question_id", "answer_id", "answer_pos", F.posexplode("segs").alias("sentence_id", "sentence")).withColumn("sentence_id", F.col("sentence_id") + 1)
+    cut = spread(answer_rows.where("article IS NOT NULL"), "question_id").withColumn("segs", segs).withColumn("segs", T.merge_dangling(F.col("segs")) if merge else T.drop_dangling(F.col("segs")))
+    # the outer form, lest a filter on the segments' number be inferred and evaluate them once more beside the scan
+    rows = cut.select("question_id", "answer_id", "answer_pos", F.posexplode_outer("segs").alias("sentence_id", "sentence")).where("sentence IS NOT NULL").withColumn("sentence_id", F.col("sentence_id") + 1)
     return prepare(rows)
 
 

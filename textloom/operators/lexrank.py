@@ -53,7 +53,7 @@ def stationary(spark: SparkSession, sentence_rows: DataFrame, edges: DataFrame)
 
 def lexrank(spark: SparkSession, sentence_rows: DataFrame, config: LexRank = LexRank()) -> DataFrame:
     """(keys, component, raw, score): closed-form centrality, then min-max per answer. Threshold None weighs edges by similarity."""
-    sims = similarities(weighted_terms(sentence_rows, not config.all_questions))
+    sims = similarities(materialize(spark, weighted_terms(sentence_rows, not config.all_questions), "sentence-terms"))
     if config.threshold is None:
         edges = sims.where("sim > 0").withColumn("w", F.col("sim"))
     else:
@@ -70,6 +70,6 @@ def keyword_terms(sentence_rows: DataFrame) -> DataFrame:
 
 def keyword_lexrank(spark: SparkSession, sentence_rows: DataFrame, keyword_rows: DataFrame, config: LexRank = LexRank()) -> DataFrame:
     """The variant with keyword-weighted similarity; still symmetric, so the same closed form holds."""
-    sims = similarities(keyword_terms(sentence_rows), keyword_rows.select("question_id", F.col("keyword").alias("term"), "weight"))
+    sims = similarities(materialize(spark, keyword_terms(sentence_rows), "sentence-terms"), keyword_rows.select("question_id", F.col("keyword").alias("term"), "weight"))
     edges = sims.where(F.col("sim") > (config.threshold or 0.0)).withColumn("w", F.col("sim") if config.threshold is None else F.lit(1.0))
     return stationary(spark, sentence_rows, edges.drop("sim")).withColumn("score", minmax(F.col("raw"), KEY[:2]))

@@ -55,7 +55,9 @@ def mmr(rows: DataFrame, config: Diversity = Diversity(), group: str = "question
     whole = F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: i.cast("int"))
     fold = F.aggregate(F.sequence(F.lit(1), F.size(c)), start, step)
     picked = F.when(F.size(c) < n, whole).otherwise(fold["picked"])
-    return groups.select(group, F.posexplode(F.transform(picked, lambda i: F.get(c, i)["i"])).alias("step", item)).withColumn("step", F.col("step") + 1)
+    # the outer form here and below, lest a filter on the fold's size be inferred and run it twice
+    found = groups.select(group, F.posexplode_outer(F.transform(picked, lambda i: F.get(c, i)["i"])).alias("step", item))
+    return found.where("step IS NOT NULL").withColumn("step", F.col("step") + 1)
 
 
 def greedy_dedupe(rows: DataFrame, duplicate: float = 0.9, group: str = "question_id", item: str = "item", order: str = "pos") -> DataFrame:
@@ -63,4 +65,4 @@ def greedy_dedupe(rows: DataFrame, duplicate: float = 0.9, group: str = "questio
     groups = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"), _unit(F.col("vec")).alias("v")))).alias("c"))
     empty = F.slice("c", 1, 0)
     kept = F.aggregate("c", empty, lambda k, x: F.when(F.exists(k, lambda y: F.round(dot(x["v"], y["v"]), 12) >= duplicate), k).otherwise(F.concat(k, F.array(x))))
-    return groups.select(group, F.explode(F.transform(kept, lambda x: x["i"])).alias(item))
+    return groups.select(group, F.explode_outer(F.transform(kept, lambda x: x["i"])).alias(item)).where(F.col(item).isNotNull())

@@ -30,6 +30,12 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: lis
     return out
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all cores if it comes in fewer partitions than there are cores (small files), else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(spark: SparkSession, df: DataFrame | None) -> None:
     """Delete a materialized table that no later plan reads."""
     if path := getattr(df, "_textloom_path", None):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..config import Expansion, LexRank, Selection
 from ..functions import similarity as S, text as T
 from ..operators import corpus, expand, features, graph, lexrank, mmr, ontology, rouge, scoring, select
+from ..operators.storage import materialize
 from ..sources import readers
 from . import fixtures as X
 from .oracle import K, STOP, clean, minmax, normal, query
@@ -43,6 +44,11 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sentences(corpus.answers(_t(spark, sf_dir, "conversations")))
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences as a written table, for queries that read them more than once."""
+    return materialize(spark, _sentences(spark, sf_dir), "sentences")
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.question_tokens(corpus.questions(_t(spark, sf_dir, "conversations")))
 
@@ -114,39 +120,39 @@ def term_tf(spark, sf_dir):
 
 @_register(query("SELECT question_id, term, df, n, round(idf, 6) AS idf FROM idf", "idf"))
 def idf_smoothed(spark, sf_dir):
-    rows = _sentences(spark, sf_dir)
+    rows = _written(spark, sf_dir)
     return features.smoothed_idf(corpus.term_counts(rows), features.question_sizes(rows), ["question_id"]).select("question_id", "term", "df", "n", *_r("idf"))
 
 
 @_register(query("SELECT term, df, n, round(idf, 6) AS idf FROM ridf", "ridf"))
 def idf_lexrank(spark, sf_dir):
-    rows = _sentences(spark, sf_dir).withColumn("rank_tokens", T.rank_tokens(F.col("normalized")))
+    rows = _written(spark, sf_dir).withColumn("rank_tokens", T.rank_tokens(F.col("normalized")))
     return features.rank_idf(rows).select("term", "df", "n", *_r("idf"))
 
 
 @_register(query("SELECT question_id, term, round(weight, 6) AS weight FROM vocab2", "vocab2"))
 def inverse_idf_vocab(spark, sf_dir):
-    return features.inverse_idf(_sentences(spark, sf_dir), _tagged(spark, sf_dir)).select("question_id", "term", *_r("weight"))
+    return features.inverse_idf(_written(spark, sf_dir), _tagged(spark, sf_dir)).select("question_id", "term", *_r("weight"))
 
 
 @_register(query(f"SELECT {K}, term, round(tfidf, 6) AS tfidf FROM tfidf", "tfidf"))
 def tfidf_matrix_l2(spark, sf_dir):
-    return features.tfidf(_sentences(spark, sf_dir)).select(*KEY, "term", *_r("tfidf"))
+    return features.tfidf(_written(spark, sf_dir)).select(*KEY, "term", *_r("tfidf"))
 
 
 @_register(query("SELECT question_id, term, round(value, 6) AS value FROM fmax", "fmax"))
 def tfidf_feature_max(spark, sf_dir):
-    return features.feature_max(features.tfidf(_sentences(spark, sf_dir))).select("question_id", "term", *_r("value"))
+    return features.feature_max(features.tfidf(_written(spark, sf_dir))).select("question_id", "term", *_r("value"))
 
 
 @_register(query("SELECT question_id, round(threshold, 6) AS threshold FROM cut", "cut"))
 def tfidf_rank_threshold(spark, sf_dir):
-    return features.rank_threshold(features.feature_max(features.tfidf(_sentences(spark, sf_dir)))).select("question_id", *_r("threshold"))
+    return features.rank_threshold(features.feature_max(features.tfidf(_written(spark, sf_dir)))).select("question_id", *_r("threshold"))
 
 
 @_register(query(f"SELECT {K}, {_rs('raw', 'score')} FROM tfidf_none", "tfidf_none"))
 def tfidf_score(spark, sf_dir):
-    return features.tfidf_scores(_sentences(spark, sf_dir), mode="none").select(*KEY, *_r("raw", "score"))
+    return features.tfidf_scores(_written(spark, sf_dir), mode="none").select(*KEY, *_r("raw", "score"))
 
 
 @_register(query(f"SELECT {K}, {_rs('raw', 'score')} FROM tfidf_weight", "tfidf_weight"))
@@ -157,7 +163,7 @@ def tfidf_score_weighted(spark, sf_dir):
 
 @_register(query(f"SELECT {K}, {_rs('raw', 'score')} FROM tfidf_ner", "tfidf_ner"))
 def tfidf_score_ner(spark, sf_dir):
-    return features.tfidf_scores(_sentences(spark, sf_dir), None, _tagged(spark, sf_dir), mode="ner").select(*KEY, *_r("raw", "score"))
+    return features.tfidf_scores(_written(spark, sf_dir), None, _tagged(spark, sf_dir), mode="ner").select(*KEY, *_r("raw", "score"))
 
 
 # graph ranking
@@ -167,7 +173,7 @@ _NODE = lambda c: F.col(f"{c}.answer_id") * 100000 + F.col(f"{c}.sentence_id")
 
 @_register(query("SELECT question_id, a, b, round(sim, 6) AS sim FROM sim", "sim"))
 def idf_modified_cosine(spark, sf_dir):
-    return lexrank.similarities(lexrank.weighted_terms(_sentences(spark, sf_dir))).select("question_id", _NODE("a").alias("a"), _NODE("b").alias("b"), *_r("sim"))
+    return lexrank.similarities(lexrank.weighted_terms(_written(spark, sf_dir))).select("question_id", _NODE("a").alias("a"), _NODE("b").alias("b"), *_r("sim"))
 
 
 @_register(query("SELECT question_id, a, b, round(sim, 6) AS sim FROM ksim", "ksim"))

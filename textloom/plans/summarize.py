@@ -30,9 +30,9 @@ def score_sentences(spark: SparkSession, sentence_rows: DataFrame, tagged: DataF
 
 
 def prepared(spark: SparkSession, conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sentences (written once, as every scorer reads them), tagged questions and keywords."""
+    """Sentences and tagged questions (written once, as every scorer reads them), and keywords."""
     sentence_rows = materialize(spark, corpus.sentences(corpus.answers(conversations)), "sentences")
-    tagged = corpus.question_tokens(corpus.questions(conversations))
+    tagged = materialize(spark, corpus.question_tokens(corpus.questions(conversations)), "questions")
     return sentence_rows, tagged, corpus.keywords(tagged)
 
 
