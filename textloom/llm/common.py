@@ -49,6 +49,11 @@ def discard(spark: SparkSession, df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if a count of it (a written table of narrow rows) stays within that number of rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from: crc32 of the id as text leaves 1 by 3. A null id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -13,7 +13,7 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, if_small, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -135,17 +135,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     most = round(bits * share + math.sqrt(bits * share * (1 - share)))
     fps = materialize(spark, fingerprints(docs, shingle, words, doc_id="row_id"), "fingerprints")
     cols = [f"fp_{k}" for k in range(words)]
-    whole = materialize(spark, fps.groupBy(*cols).agg(F.min("doc_id").alias("row")), "distinct-fingerprints")
+    whole = materialize(spark, fps.groupBy(*cols).agg(F.min("doc_id").alias("row")).withColumn("node", F.xxhash64(*cols)), "distinct-fingerprints")
     parts = [F.struct(F.expr(f"shiftleft({n}L, 32) | (shiftright(fp_{n // 2}, {32 * (n % 2)}) & 4294967295L)").alias("key")) for n in range(slices)]
-    sliced = whole.select("row", F.explode(F.array(*parts)).alias("s")).select("row", "s.key")
-    heads = materialize(spark, sliced.groupBy("key").agg(F.min("row").alias("head")), "slice-heads")
-    same = sliced.join(heads, "key").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
-    links = ball_links(heads.select("key"), 32)
-    near = links.join(heads.select(F.col("key").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("key").alias("v"), F.col("head").alias("b")), "v").where("a <> b").select("a", "b")
+    sliced = whole.select("node", F.explode(F.array(*parts)).alias("s")).select("node", "s.key")
+    heads = materialize(spark, sliced.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")), "slice-heads")
+    shared = if_small(heads.where("head <> last").select("key", "head"))
+    same = sliced.join(shared, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = materialize(spark, ball_links(heads.select("key"), 32), "slice-links")
+    links = if_small(links)
+    half = heads.select(F.col("key").alias("u"), F.col("head").alias("a")).join(links, "u").select("a", "v")
+    near = heads.select(F.col("key").alias("v"), F.col("head").alias("b")).join(if_small(materialize(spark, half, "slice-links")), "v").where("a <> b").select("a", "b")
     pairs = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    at = lambda c: whole.select(F.col("row").alias(c), F.array(*cols).alias(f"fp_{c}"))
+    at = lambda c: whole.select(F.col("node").alias(c), F.array(*cols).alias(f"fp_{c}"))
     far = sum((F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(words)), F.lit(0))
     edges = pairs.join(at("a"), "a").join(at("b"), "b").where(far <= most).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(spark, edges, "near-components")
-    kept = whole.join(roots, whole.row == roots.node, "left").select(*cols, F.coalesce("root", "row").alias("component"))
+    linked = whole.select("node", "row").join(roots, "node")
+    tops = linked.groupBy("root").agg(F.min("row").alias("top"))
+    of_node = linked.join(tops, "root").select("node", "top")
+    kept = whole.join(of_node, "node", "left").select(*cols, F.coalesce("top", "row").alias("component"))
     return fps.join(kept, cols).select(F.col("doc_id").alias("row_id"), "component")
