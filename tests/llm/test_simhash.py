@@ -105,3 +105,34 @@ def test_near_duplicates_find_similar_texts(spark, small_dir):
         changed.append((i + 1, " ".join([*w[:at], "swapped", *w[at + 1 :]])))
     got = {r.row_id: r.component for r in simhash.near_duplicates(spark, spark.createDataFrame(rows + changed, "row_id long, text string")).collect()}
     assert sum(got[i + 1] == got[i] for i, _ in rows) >= 0.97 * len(rows)
+
+
+def test_near_duplicates_within_a_family(spark):
+    """The head of a slice group is mostly another text of the family; the copy behind it is found all the same."""
+    rows, due = [], []
+    bits = lambda t: [int(x) & 2**64 - 1 for x in simhash.fingerprint(t.encode(), 5, 8)]
+    for i in range(0, 8000, 10):
+        w = [f"s{k}" for k in range(190)] + [f"t{i}x{k}" for k in range(60)]
+        pair = " ".join(w), " ".join([*w[:210], *(f"c{i}x{k}" for k in range(16)), *w[226:]])
+        rows += [(i, pair[0]), (i + 1, pair[1])]
+        xor = [a ^ b for a, b in zip(*map(bits, pair))]
+        close = any((x >> h & 2**32 - 1).bit_count() <= 2 for x in xor[:6] for h in (0, 32))
+        if close and sum(x.bit_count() for x in xor) <= 86:
+            due.append(i)
+    got = {r.row_id: r.component for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, "row_id long, text string")).collect()}
+    assert len(due) > 600 and [i for i in due if got[i] != got[i + 1]] == []
+    assert len(set(got.values())) >= 700  # other texts of the family have a similarity of 0.6
+
+
+def test_links_within_blocks(spark, monkeypatch):
+    """Groups over MEMBERS, dealt to blocks, have the components of all pairs."""
+    import random
+
+    rnd = random.Random(5)
+    values = [rnd.getrandbits(10) for _ in range(300)]
+    rows = spark.createDataFrame([(g, i, [v]) for g in (1, 2) for i, v in enumerate(values) if g == 1 or i < 9], "group long, node long, fp array<long>")
+    monkeypatch.setattr(simhash, "MEMBERS", 20)
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    found = [(r.u, r.v) for r in simhash.links_within(simhash.in_blocks(rows, sizes), "fp", simhash.within_bits(1)).collect()]
+    close = [(a, b) for a in range(300) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 1]
+    assert cases.union_find(found, range(300)) == cases.union_find(close, range(300))

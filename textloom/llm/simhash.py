@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Shingles that are hashed and added up at once; bounds the memory for very long texts.
 BLOCK = 1 << 13
+#: Members of a group that are compared in one task; those of a larger group are dealt to blocks, and each two blocks meet.
+MEMBERS = 2048
 
 
 def bit_counts(hashes, words: int):
@@ -78,11 +80,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def ball_links(keys: DataFrame, bits: int = 64) -> DataFrame:
-    """(u, v): links between distinct values of keys(key) that differ in 1 or 2 of their low bits.
+def ball_groups(keys: DataFrame, bits: int = 64) -> DataFrame:
+    """(variant, all): the distinct values of keys(key) that differ in at most 1 of their low bits from a variant, if several.
 
-    Each value emits all variants within half the radius (bits + 1 rows of fixed width). A group has at most bits + 1
-    values; each is linked to the smallest. The links' components are those of all pairs within distance 2.
+    Each value emits all variants within half the radius (bits + 1 rows of fixed width). Any two values within distance 2
+    share a group, any two of a group are within distance 2, and a group has at most bits + 1 values.
     """
     spread = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # small rows that become many
     emitted = spread.select("key", F.explode(F.array(*[F.lit(i) for i in range(-1, bits)])).alias("pos"))
@@ -97,10 +99,100 @@ def ball_links(keys: DataFrame, bits: int = 64) -> DataFrame:
         f"concat(if(own = 1, array(variant), cast(array() as array<bigint>)), "
         f"transform(filter(sequence(0, {bits - 1}), i -> shiftright(mask, i) & 1L = 1L), i -> variant ^ shiftleft(1L, i)))"
     )
-    stars = groups.select(members.alias("all")).select(F.array_min("all").alias("v"), F.explode("all").alias("u"))
+    return groups.select("variant", members.alias("all"))
+
+
+def ball_links(keys: DataFrame, bits: int = 64) -> DataFrame:
+    """(u, v): links between distinct values of keys(key) that differ in 1 or 2 of their low bits.
+
+    Each value of a group is linked to the smallest. The links' components are those of all pairs within distance 2.
+    """
+    stars = ball_groups(keys, bits).select(F.array_min("all").alias("v"), F.explode("all").alias("u"))
     return stars.where("u <> v").where(hamming(F.col("u"), F.col("v")) <= 2).select("u", "v").distinct()
 
 
+def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows(group, node, ..) with the column pair, by which a group of more than MEMBERS members, in sizes(group, size), is dealt.
+
+    Its members are dealt to blocks of half as many, and each two blocks are one pair: any two members meet in some pair.
+    """
+    large = if_small(sizes.where(F.col("size") > MEMBERS).select("group", F.ceil(F.col("size") / (MEMBERS // 2)).cast("int").alias("blocks")))
+    own = F.expr("pmod(xxhash64(node, 1), blocks)")
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != own), lambda o: (F.least(o, own) * F.col("blocks") + F.greatest(o, own)).cast("long"))
+    dealt = rows.join(large, "group", "left").withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
+    return dealt.drop("blocks")
+
+
+def links_within(rows: DataFrame, column: str, linked) -> DataFrame:
+    """(u, v): links between the members of each (group, pair) of rows(group, pair, node, column), with its components.
+
+    linked(values) gives a function from a member's number and those of others to a mask of the others it is linked to.
+    Members are reached breadth first from the smallest not yet reached, so each one meets all that nothing has reached:
+    no link that joins two components is missed, and there are fewer links than members.
+    """
+
+    def components(nodes, values):
+        import numpy as np
+
+        near, left, out = linked(values), np.argsort(nodes, kind="stable"), []
+        while len(left) > 1:
+            head, left, front = left[0], left[1:], [left[0]]
+            while front and len(left):
+                hit = near(front.pop(), left)
+                front += left[hit].tolist()
+                out += [(nodes[x], nodes[head]) for x in left[hit] if nodes[x] != nodes[head]]
+                left = left[~hit]
+        return out
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def links(table):
+            keys = [table.column(c).to_numpy() for c in ("group", "pair")]
+            cuts = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+            nodes, values, found = table.column("node").to_numpy(), table.column(column).combine_chunks(), []
+            for a, b in zip([0, *cuts], [*cuts, len(nodes)]):
+                if b - a > 1:
+                    found += components(nodes[a:b], values.slice(a, b - a))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        held = []  # batches of which the last group may go on
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group, pair = b.column("group").to_numpy(), b.column("pair").to_numpy()
+            new = (group != (last[0] if last else group[0] - 1)) | (pair != (last[1] if last else 0))
+            tail = (group == group[-1]) & (pair == pair[-1])
+            last = (group[-1], pair[-1])
+            if not new.any():
+                held.append(b)
+                continue
+            at = b.num_rows - int(tail.sum())  # the last group of the batch begins here
+            done = [*held, b.slice(0, at)] if at or held else []
+            if done:
+                yield links(pa.Table.from_batches(done))
+            held = [b.slice(at)]
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "pair")
+    return spread.sortWithinPartitions("group", "pair").select("group", "pair", "node", column).mapInArrow(run, "u long, v long")
+
+
+def within_bits(most: int):
+    """For links_within: fingerprints (lists of words) that differ in at most that many bits."""
+
+    def linked(values):
+        import numpy as np
+
+        fps = values.flatten().to_numpy().reshape(len(values), -1).view(np.uint64)
+        return lambda i, others: np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1, dtype=np.int64) <= most
+
+    return linked
+
+
 def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest reachable doc_id) of each row.
 
@@ -124,9 +216,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     64 * words bits of SimHash, of which the first 32 * slices are cut into slices. Two rows are candidates if a slice
     differs in at most 2 bits (ball hashing within each slice), and linked if all bits together differ by no more than
     the similarity allows: a Jaccard similarity j is a cosine of 2j/(1+j), and the share of differing bits is its angle
-    over pi; one standard deviation of that estimate is added. Candidates of the same slice value or variant are
-    compared with the group's smallest row, not with each other, so the work is linear in the rows; a row takes part
-    in as many groups as there are slices, so that one stray group does no harm.
+    over pi; one standard deviation of that estimate is added. Every two candidates of a slice value or variant meet
+    within a task unless links join them already; large groups are dealt to blocks, and each two blocks meet.
     """
     import math
 
@@ -138,17 +229,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     whole = materialize(spark, fps.groupBy(*cols).agg(F.min("doc_id").alias("row")).withColumn("node", F.xxhash64(*cols)), "distinct-fingerprints")
     parts = [F.struct(F.expr(f"shiftleft({n}L, 32) | (shiftright(fp_{n // 2}, {32 * (n % 2)}) & 4294967295L)").alias("key")) for n in range(slices)]
     sliced = whole.select("node", F.explode(F.array(*parts)).alias("s")).select("node", "s.key")
-    heads = materialize(spark, sliced.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")), "slice-heads")
-    shared = if_small(heads.where("head <> last").select("key", "head"))
-    same = sliced.join(shared, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    links = materialize(spark, ball_links(heads.select("key"), 32), "slice-links")
-    links = if_small(links)
-    half = heads.select(F.col("key").alias("u"), F.col("head").alias("a")).join(links, "u").select("a", "v")
-    near = heads.select(F.col("key").alias("v"), F.col("head").alias("b")).join(if_small(materialize(spark, half, "slice-links")), "v").where("a <> b").select("a", "b")
-    pairs = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    at = lambda c: whole.select(F.col("node").alias(c), F.array(*cols).alias(f"fp_{c}"))
-    far = sum((F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(words)), F.lit(0))
-    edges = pairs.join(at("a"), "a").join(at("b"), "b").where(far <= most).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    counted = materialize(spark, sliced.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "slice-values")
+    near = ball_groups(counted.select("key"), 32).select(F.col("variant").alias("group"), F.explode("all").alias("key"))
+    same = counted.where("n > 1").select(F.expr("key | shiftleft(1L, 60)").alias("group"), "key")
+    meet = if_small(materialize(spark, near.unionByName(same), "slice-groups"))
+    sizes = materialize(spark, counted.join(meet, "key").groupBy("group").agg(F.sum("n").alias("size")), "group-sizes")
+    members = materialize(spark, in_blocks(sliced.join(meet, "key").select("group", "node"), sizes), "group-members")
+    met = members.join(whole.select("node", F.array(*cols).alias("fp")), "node")
+    edges = links_within(met, "fp", within_bits(most)).distinct()
     roots = connected_components(spark, edges, "near-components")
     linked = whole.select("node", "row").join(roots, "node")
     tops = linked.groupBy("root").agg(F.min("row").alias("top"))
