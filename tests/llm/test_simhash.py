@@ -136,3 +136,30 @@ def test_links_within_blocks(spark, monkeypatch):
     found = [(r.u, r.v) for r in simhash.links_within(simhash.in_blocks(rows, sizes), "fp", simhash.within_bits(1)).collect()]
     close = [(a, b) for a in range(300) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 1]
     assert cases.union_find(found, range(300)) == cases.union_find(close, range(300))
+
+
+def test_near_duplicates_by_exact_similarity(spark):
+    """A passage repeated within the text counts once; no pair under 0.8 is linked, whatever the bits say."""
+    passage, own = [f"p{k}" for k in range(100)], lambda i: [f"o{i}x{k}" for k in range(500)]
+    rows = [(i, " ".join([*passage * 8, *own(i)])) for i in range(3)] + [(i, " ".join(["a"] * 600 + own(i))) for i in range(3, 6)]
+    for k in range(40):  # 50 words more in the middle: a similarity of 0.78 of the shingles (196 of 250)
+        w = [f"m{k}x{j}" for j in range(200)]
+        rows += [(100 + 2 * k, " ".join(w)), (101 + 2 * k, " ".join([*w[:100], *(f"n{k}x{j}" for j in range(50)), *w[100:]]))]
+    rows += [(200, " ".join(own(200))), (201, " ".join(own(200)[:-30]))]  # 0.94
+    got = {r.row_id: r.component for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, "row_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if c != i} == {201: 200}
+
+
+def test_within_jaccard():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    sets = [set(rnd.sample(range(12), rnd.randint(0, 12))) for _ in range(60)]
+    near = simhash.within_jaccard(0.8)(pa.array([sorted(x) for x in sets], pa.list_(pa.int64())).slice(10, 50))
+    sets = sets[10:]
+    others = np.array([j for j in range(50) if j % 7])
+    for i, a in enumerate(sets):
+        assert near(i, others).tolist() == [5 * len(a & sets[j]) >= 4 * len(a | sets[j]) for j in others]

@@ -37,26 +37,36 @@ def bit_counts(hashes, words: int):
     return np.unpackbits(np.ascontiguousarray(h, dtype="<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1):
-    """int64 words of the SimHash: a bit is 1 if set in over half of the shingles' hashes, repeats included."""
+def shingle_hashes(text: bytes, shingle: int):
+    """Arrays of at most BLOCK hashes of the text's shingles, repeats included; the one of all words if they are fewer."""
     import numpy as np
     import xxhash
 
     w = text.lower().split()  # bytes: A-Z alone, and the six ASCII spaces
-    if not w:
-        return np.zeros(words, np.int64)
     h64 = xxhash.xxh64_intdigest
-    n = max(1, len(w) - shingle + 1)
-    total = 0
+    n = max(1, len(w) - shingle + 1) if w else 0
     for at in range(0, n, BLOCK):
         part = w[at : at + BLOCK + shingle - 1]
         if len(w) < shingle:
             hashes = [h64(b" ".join(w), 42)]
         else:
             hashes = [h64(b" ".join(x), 42) for x in zip(*(part[i:] for i in range(shingle)))]
-        total = total + bit_counts(np.fromiter(hashes, np.uint64, len(hashes)), words)
-    bits = (2 * total > n).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view("<i8")
+        yield np.fromiter(hashes, np.uint64, len(hashes))
+
+
+def majority(blocks, words: int):
+    """int64 words of the SimHash of arrays of hashes: a bit is 1 if set in over half of them."""
+    import numpy as np
+
+    n, total = 0, np.zeros(64 * words, np.int64)
+    for hashes in blocks:
+        n, total = n + len(hashes), total + bit_counts(hashes, words)
+    return np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def fingerprint(text: bytes, shingle: int, words: int = 1):
+    """int64 words of the SimHash: a bit is 1 if set in over half of the shingles' hashes, repeats included."""
+    return majority(shingle_hashes(text, shingle), words)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -76,6 +86,28 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, text: str =
     return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"fp_{k} long" for k in range(words))]))
 
 
+def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """row_id, shingles (sorted hashes of the distinct shingles), node (a hash of them) and fp (SimHash of them) of docs(row_id, text)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            sets, fps, nodes = [], [], []
+            for t in b.column("text").cast(pa.binary()):
+                own = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t.as_py() or b"", shingle)]))
+                sets.append(own.view(np.int64))
+                fps.append(majority((own[i : i + BLOCK] for i in range(0, len(own), BLOCK)), words))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+            values = [pa.array(sets, pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), *values], ["row_id", "shingles", "node", "fp"])
+
+    rows = docs.select("row_id", "text")
+    return rows.mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, shingles array<long>, node long, fp array<long>")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -193,6 +225,37 @@ def within_bits(most: int):
     return linked
 
 
+def within_jaccard(similarity: float):
+    """For links_within: sets (lists of distinct hashes) of at least that Jaccard similarity."""
+
+    def linked(values):
+        import numpy as np
+
+        starts = values.offsets.to_numpy().astype(np.int64)
+        starts = starts - starts[0]
+        sizes = np.diff(starts)
+        _, tokens = np.unique(values.flatten().to_numpy(), return_inverse=True)
+        has = np.zeros(len(tokens) + 1, bool)
+
+        def near(i, others):
+            own = tokens[starts[i] : starts[i + 1]]
+            could = np.flatnonzero(np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-9)
+            n = sizes[others[could]]
+            ends = np.cumsum(n)
+            at = np.repeat(starts[others[could]] - (ends - n), n) + np.arange(n.sum())
+            has[own] = True
+            both = np.concatenate([[0], np.cumsum(has[tokens[at]])])
+            has[own] = False
+            both = both[ends] - both[ends - n]
+            hit = np.zeros(len(others), bool)
+            hit[could] = both >= similarity * (n + sizes[i] - both) - 1e-9
+            return hit
+
+        return near
+
+    return linked
+
+
 def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest reachable doc_id) of each row.
 
@@ -213,33 +276,38 @@ def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3) -
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, slices: int = 12) -> DataFrame:
     """row_id and component (smallest row_id reachable) of docs(row_id, text), for shingle sets of the given similarity.
 
-    64 * words bits of SimHash, of which the first 32 * slices are cut into slices. Two rows are candidates if a slice
-    differs in at most 2 bits (ball hashing within each slice), and linked if all bits together differ by no more than
-    the similarity allows: a Jaccard similarity j is a cosine of 2j/(1+j), and the share of differing bits is its angle
-    over pi; one standard deviation of that estimate is added. Every two candidates of a slice value or variant meet
-    within a task unless links join them already; large groups are dealt to blocks, and each two blocks meet.
+    Each distinct shingle counts once, and rows with equal sets are one node. 64 * words bits of SimHash find candidates;
+    the first 32 * slices are cut into slices. Two nodes are candidates if a slice differs in at most 2 bits (ball hashing
+    within each slice) and all bits together differ by no more than the similarity allows: a Jaccard similarity j is a
+    cosine of 2j/(1+j) or more, and the share of differing bits is its angle over pi; three standard deviations of that
+    estimate are added. Every two members of a slice value or variant meet within a task unless links join them already;
+    large groups are dealt to blocks, and each two blocks meet. The sets of nodes that candidates join meet in the same
+    way, once for each component of candidates, and are linked by their exact Jaccard similarity.
     """
     import math
 
     bits = 64 * words
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = round(bits * share + math.sqrt(bits * share * (1 - share)))
-    fps = materialize(spark, fingerprints(docs, shingle, words, doc_id="row_id"), "fingerprints")
-    cols = [f"fp_{k}" for k in range(words)]
-    whole = materialize(spark, fps.groupBy(*cols).agg(F.min("doc_id").alias("row")).withColumn("node", F.xxhash64(*cols)), "distinct-fingerprints")
-    parts = [F.struct(F.expr(f"shiftleft({n}L, 32) | (shiftright(fp_{n // 2}, {32 * (n % 2)}) & 4294967295L)").alias("key")) for n in range(slices)]
-    sliced = whole.select("node", F.explode(F.array(*parts)).alias("s")).select("node", "s.key")
+    most = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    sets = materialize(spark, shingle_sets(docs, shingle, words), "shingle-sets")
+    whole = materialize(spark, sets.groupBy("node").agg(F.min("row_id").alias("row"), F.first("fp").alias("fp")), "distinct-sets")
+    parts = [F.expr(f"shiftleft({n}L, 32) | (shiftright(fp[{n // 2}], {32 * (n % 2)}) & 4294967295L)") for n in range(slices)]
+    sliced = whole.select("node", F.explode(F.array(*parts)).alias("key"))
     counted = materialize(spark, sliced.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "slice-values")
     near = ball_groups(counted.select("key"), 32).select(F.col("variant").alias("group"), F.explode("all").alias("key"))
     same = counted.where("n > 1").select(F.expr("key | shiftleft(1L, 60)").alias("group"), "key")
     meet = if_small(materialize(spark, near.unionByName(same), "slice-groups"))
     sizes = materialize(spark, counted.join(meet, "key").groupBy("group").agg(F.sum("n").alias("size")), "group-sizes")
     members = materialize(spark, in_blocks(sliced.join(meet, "key").select("group", "node"), sizes), "group-members")
-    met = members.join(whole.select("node", F.array(*cols).alias("fp")), "node")
-    edges = links_within(met, "fp", within_bits(most)).distinct()
+    candidates = links_within(members.join(whole.select("node", "fp"), "node"), "fp", within_bits(most)).distinct()
+    joined = materialize(spark, connected_components(spark, candidates, "candidates").select("node", F.col("root").alias("group")), "candidate-groups")
+    dealt = in_blocks(joined, joined.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
+    least = if_small(materialize(spark, dealt.join(whole.select("node", "row"), "node"), "candidate-rows"))
+    compared = sets.select("row_id", "node", "shingles").join(least, "node").where(F.col("row_id").eqNullSafe(F.col("row")))
+    edges = links_within(compared, "shingles", within_jaccard(similarity)).distinct()
     roots = connected_components(spark, edges, "near-components")
     linked = whole.select("node", "row").join(roots, "node")
     tops = linked.groupBy("root").agg(F.min("row").alias("top"))
     of_node = linked.join(tops, "root").select("node", "top")
-    kept = whole.join(of_node, "node", "left").select(*cols, F.coalesce("top", "row").alias("component"))
-    return fps.join(kept, cols).select(F.col("doc_id").alias("row_id"), "component")
+    kept = whole.join(of_node, "node", "left").select("node", F.coalesce("top", "row").alias("component"))
+    return sets.select("row_id", "node").join(kept, "node").select("row_id", "component")
