@@ -157,3 +157,16 @@ def test_language_learns_nothing_from_rows_held_out(spark):
     assert names == ["en"]
     with pytest.raises(ValueError):
         language_id.train(cases.docs(spark, [(i, "x", f"l{i}", "a") for i in range(3000)]))
+
+
+def test_long_values():
+    """A value of any length is one span, also if only what follows its first 256 characters is costly."""
+    scan = secrets_scan.scanner()
+    costly = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:7].upper() + "_" for i in range(100))
+    for value in (costly, "abc" * 8 + costly, "password" * 3 + "x" * 20 + costly, "a" * 300 + costly):
+        assert [x for x in scan(f"see bearer={value} end") if x[1] == 3] == [(11, 3, 11 + len(value))]
+    p, words = secrets_scan.patterns()["date"], {w: i + 1 for i, w in enumerate(secrets_scan.WORDS)}
+    for value in ("password2024-01-02qwerty", "xxxxxxxxab", costly[:30], "Zq9_xK2.vv"):
+        cost = secrets_scan.guess_cost(value, words, p)
+        for enough in (1.0, 4.0, 8.0):
+            assert (secrets_scan.guess_cost(value, words, p, enough=enough) >= enough) == (cost >= enough)

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("assign", "access", "hex", "guess")
-#: log10 of the guesses from which a value counts as a secret; longest value the context pattern takes in one span.
-MIN_GUESSES, MAX_VALUE = 8.0, 256
+#: log10 of the guesses from which a value counts as a secret.
+MIN_GUESSES = 8.0
 #: Frequent words of passwords and placeholders, most frequent first; a word's guesses are its rank.
 WORDS = """password passwd secret token admin example changeme test user login welcome letmein qwerty abc dragon master
 monkey shadow sunshine princess football baseball iloveyou trustno superman batman hello freedom whatever default guest
@@ -38,42 +38,51 @@ def patterns():
         # runs of 20 and 24 characters: the same matches as all runs, the short ones dropped
         "access": re.compile(r"AKIA[A-Z0-9]{16,}"),
         "hex": re.compile(r"[0-9a-f]{24,}"),
-        "context": re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|bearer|auth|(?:api|private|access)_?key)[\"']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}[\"']?([^\s\"']{6,%d})" % MAX_VALUE, i),
+        "context": re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|bearer|auth|(?:api|private|access)_?key)[\"']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}[\"']?([^\s\"']{6,})", i),
         "date": re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d"),
     }
 
 
-def guess_cost(value: str, words: dict[str, int], date, rows: tuple[str, ...] = ROWS) -> float:
-    """log10 of the guesses for the cheapest segmentation of value.
+def guess_cost(value: str, words: dict[str, int], date, rows: tuple[str, ...] = ROWS, enough: float = float("inf")) -> float:
+    """log10 of the guesses for the cheapest segmentation of value, or a lower bound of it that is `enough` or more.
 
-    best[j] is the least cost of value[:j]. A segment is a listed word (rank, doubled if its case varies), a date
-    (365 * 120), a repeat of one unit (unit * times), a walk along a keyboard row or the alphabet (start * length), or a
-    single brute-force character; every further segment doubles the guesses. At most 24 characters a segment, so the
-    time is linear in the value's length.
+    best[j] is the least cost of value[:j], kept for the places that are still ahead. A segment is a listed word (rank,
+    doubled if its case varies), a date (365 * 120), a repeat of one unit (unit * times), a walk along a keyboard row or
+    the alphabet (start * length), or a single brute-force character; every further segment doubles the guesses. At most
+    24 characters a segment, so the time is linear in the value's length. Costs only grow, so once every place ahead
+    costs enough, the whole value does.
     """
     import math
 
     n, low = len(value), value.lower()
-    best = [0.0] + [math.inf] * n
+    best = {0: 0.0}
     step = math.log10(2)
     classes = {c: 10 if c.isdigit() else 26 if c.isalpha() else 33 for c in set(value)}
     ends: dict[int, int] = {m.start(): m.end() for m in date.finditer(value)}
+
+    def reach(j: int, cost: float) -> None:
+        if cost < best.get(j, math.inf):
+            best[j] = cost
+
     for i in range(n):
-        here = best[i] + (step if i else 0)
-        best[i + 1] = min(best[i + 1], best[i] + math.log10(classes[value[i]]))
+        at = best.pop(i)
+        if at >= enough and (least := min([at, *best.values()])) >= enough:
+            return least
+        here = at + (step if i else 0)
+        reach(i + 1, at + math.log10(classes[value[i]]))
         if i in ends:
-            best[ends[i]] = min(best[ends[i]], here + math.log10(365 * 120))
+            reach(ends[i], here + math.log10(365 * 120))
         for j in range(i + 3, min(n, i + 24) + 1):
             rank = words.get(low[i:j])
             if rank:
-                best[j] = min(best[j], here + math.log10(rank + 1) + (0 if value[i:j] in (low[i:j], low[i:j].upper(), low[i:j].capitalize()) else step))
+                reach(j, here + math.log10(rank + 1) + (0 if value[i:j] in (low[i:j], low[i:j].upper(), low[i:j].capitalize()) else step))
             for unit in (1, 2, 3):
                 if (j - i) % unit == 0 and j - i >= 2 * unit and value[i:j] == value[i : i + unit] * ((j - i) // unit):
-                    best[j] = min(best[j], here + unit * math.log10(classes[value[i]]) + math.log10((j - i) // unit))
+                    reach(j, here + unit * math.log10(classes[value[i]]) + math.log10((j - i) // unit))
                     break
             part = low[i:j]
             if any(part in r or part in r[::-1] for r in rows):
-                best[j] = min(best[j], here + math.log10(47 * (j - i)))
+                reach(j, here + math.log10(47 * (j - i)))
     return best[n]
 
 
@@ -87,7 +96,7 @@ def scanner(min_guesses: float = MIN_GUESSES):
         if p["hint"].search(text):
             out += [(m.start(), 0, m.end()) for m in p["assign"].finditer(text) if len(m[2]) >= 6]
             for m in p["context"].finditer(text):
-                if guess_cost(m[1], words, p["date"]) >= min_guesses:
+                if guess_cost(m[1], words, p["date"], enough=min_guesses) >= min_guesses:
                     out.append((m.start(1), 3, m.end(1)))
         if "AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in p["access"].finditer(text)]
@@ -101,7 +110,7 @@ def secret_spans(docs: DataFrame, min_guesses: float = MIN_GUESSES, text: str =
     """doc_id and spans, an array of (kind, start, end), of each row, clean rows included.
 
     Null text counts as empty and has no spans. Overlapping spans of different kinds are all reported. Repeated rows
-    are scanned each; other columns aren't read; a value of any length is taken, in spans of bounded length.
+    are scanned each; other columns aren't read; a value of any length is judged and reported whole.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     span = "array<struct<kind:string,start:int,end:int>>"
