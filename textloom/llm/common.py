@@ -38,15 +38,38 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: lis
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
+    fs, hadoop = _files(spark, path)
+    fs.deleteOnExit(hadoop)  # no table outlives the application
     return out
 
 
-def discard(spark: SparkSession, df: DataFrame | None) -> None:
-    """Delete a materialized table that no later plan reads."""
-    path = getattr(df, "_textloom_path", None)
-    if path:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_textloom_path", None):
+            fs, hadoop = _files(spark, path)
+            fs.delete(hadoop, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
