@@ -32,10 +32,37 @@ def slow_exact(rows):
     return sorted(((i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""], sha(t)) for i, t in rows), key=repr)
 
 
-@pytest.mark.parametrize("capacity", [1, 3, 1 << 20])
-def test_exact_duplicates(spark, capacity):
+@pytest.mark.parametrize("capacity,hot", [(1, 1), (3, 1000), (1 << 20, 2)])
+def test_exact_duplicates(spark, capacity, hot):
     docs = cases.docs(spark)
-    got = sorted((tuple(r) for r in exact_dedup.exact_duplicates(spark, docs, capacity, 6).collect()), key=repr)
+    got = sorted((tuple(r) for r in exact_dedup.exact_duplicates(spark, docs, capacity, 6, hot).collect()), key=repr)
+    assert got == slow_exact([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_owners_follow_the_directory(spark, monkeypatch):
+    """Rows whose bucket the directory doesn't have belong to nobody; all others are as before, and a bucket is in one file."""
+    docs = cases.docs(spark, [(i, f"text {i % 200}", "en", "a") for i in range(600)])
+    whole = exact_dedup.exact_duplicates(spark, docs, 20).collect()
+    kept, lost = exact_dedup.directory, []
+
+    def without(*a):
+        buckets = kept(*a)
+        lost.append(buckets.orderBy("prefix", "depth").first())
+        return buckets.where((F.col("depth") != lost[0].depth) | (F.col("prefix") != lost[0].prefix))
+
+    index, buckets = exact_dedup.build_index(spark, docs, 20)
+    files = index.select("bucket", F.input_file_name().alias("f")).distinct().collect()
+    assert buckets.count() >= 10 and len(files) == len({r.bucket for r in files}) == buckets.count()
+    monkeypatch.setattr(exact_dedup, "directory", without)
+    left = exact_dedup.exact_duplicates(spark, docs, 20).collect()
+    assert 0 < len(left) < len(whole) and set(left) <= set(whole)
+
+
+def test_equal_hashes_are_chained(spark, monkeypatch):
+    """With a hash that many texts share, texts are still told apart by their bytes."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    docs = cases.docs(spark)
+    got = sorted((tuple(r) for r in exact_dedup.exact_duplicates(spark, docs, 2).collect()), key=repr)
     assert got == slow_exact([(r.doc_id, r.text) for r in docs.collect()])
 
 
@@ -114,11 +141,58 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     test_decontamination_edges(spark)
 
 
-def test_proximity(spark):
-    docs = cases.docs(spark, [(1, "one two three four", "en", "a"), (2, "one x two three four", "en", "a"), (3, "four x x x x x x one two three", "en", "a")])
-    items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
-    found = lambda slop: {r.id for r in decontaminate.phrase_matches(spark, docs, items, slop=slop).where("start IS NOT NULL").collect()}
-    assert found(0) == {1} and found(2) == {1, 2}
+def slow_places(w, terms, slop, counts):
+    """Starts by the anchor (the rarest term, then the first): every choice of distinct places within slop is tried."""
+    import itertools
+
+    anchor = min(range(len(terms)), key=lambda k: (counts[terms[k]], k))
+    out = set()
+    for p, x in enumerate(w):
+        if x != terms[anchor]:
+            continue
+        start = p - anchor
+        reach = [[p] if k == anchor else [q for q in range(start + k - slop, start + k + slop + 1) if 0 <= q < len(w) and w[q] == t] for k, t in enumerate(terms)]
+        if any(len(set(c)) == len(c) for c in itertools.product(*reach)):
+            out.add(start)
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity(spark, slop):
+    """Each term in reach of its own place, repeats by places of their own; against every choice of places."""
+    import random
+
+    rnd = random.Random(slop)
+    texts = ["one two three four", "one x two three four", "four x x x x x x one two three", "a a b", "a b a", "a x b", "a b"] + [" ".join(rnd.choices("abcx", k=9)) for _ in range(40)]
+    items = {1: "one two three four", 2: "a a b", 3: "a b", 4: "c", 5: "b a c a"}
+    docs = cases.docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    counts = Counter(x for t in texts for x in t.split())
+    got = {(r.id, i, r.start) for r in decontaminate.phrase_matches(spark, docs, spark.createDataFrame(list(items.items()), "item_id long, text string"), slop=slop).where("start IS NOT NULL").collect() for i in r["items"]}
+    want = {(i, str(k), max(0, s)) for i, t in enumerate(texts) for k, terms in items.items() for s in slow_places(t.split(), terms.split(), slop, counts)}
+    assert got == want
+
+
+def test_matches_come_from_the_postings(spark, monkeypatch):
+    """Without the postings of one term, no window that has it is found."""
+    docs, items = cases.docs(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontaminate.post
+
+    def without(*a, **k):
+        terms, postings = kept(*a, **k)
+        return terms, postings.join(terms.where("word = 'gamma'"), "term", "left_anti")
+
+    monkeypatch.setattr(decontaminate, "post", without)
+    want = slow_hits([(r.doc_id, r.text) for r in docs.collect()], [x for x in ITEMS if "gamma" not in words(x[1])])
+    got = sorted((tuple(r) for r in decontaminate.contamination(spark, docs, items).collect()), key=repr)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[3] for r in got if r[0] == 12] == [r[3] + 1 for r in want if r[0] == 12]
+
+
+def test_no_text_is_shuffled(spark, small_dir):
+    """The plan that writes the postings has no exchange on the documents' side, and later plans read postings only."""
+    docs, items = table(spark, small_dir, "documents"), table(spark, small_dir, "benchmark")
+    windows, _ = decontaminate.test_windows(spark, items)
+    terms, postings = decontaminate.post(spark, docs, windows)
+    assert {f.name for f in postings.schema} == {"row", "id", "term", "pos"} and all("benchmark" not in f and "documents" not in f for f in postings.inputFiles())
 
 
 def test_mixing_meets_its_targets(spark):
