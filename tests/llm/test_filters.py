@@ -1,6 +1,7 @@
 """URL rules, quality, secrets and language."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -12,6 +13,7 @@ from tests import parity
 from tests.llm import cases
 from textloom.llm import language_id, quality, queries, secrets_scan, url_rules
 from textloom.llm.common import table
+from textloom.llm.token_counts import vocabulary
 
 MID = "/root/testdata/sf0.01"
 out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
@@ -120,16 +122,79 @@ def test_base_spans(spark, small_dir):
     assert secrets_scan.secret_spans(docs.limit(0)).count() == 0
 
 
+DATES = secrets_scan.patterns()["dates"]
+FEW = {x: i + 1 for i, x in enumerate(["pass", "aba", "abc", "word", "qwe", "ssss", "password"])}
+
+
+def segment_cost(s):
+    """Of one segment, by its definition."""
+    cost = [sum(map(secrets_scan.char_cost, s)), secrets_scan.word_cost(s, FEW), *(c for p, c in DATES if p.fullmatch(s))]
+    for u in (1, 2, 3):
+        if len(s) >= 2 * u and s == s[:u] * (len(s) // u):
+            cost.append(sum(map(secrets_scan.char_cost, s[:u])) + math.log10(len(s) // u))
+    low = s.lower()
+    if len(s) >= 3:
+        ways = [secrets_scan.KEYS.get(p) for p in zip(low, low[1:])]
+        if all(ways):
+            cost.append(math.log10(47 * len(s)) + math.log10(5) * sum(a != b for a, b in zip(ways, ways[1:])))
+        if low.isalnum() and {ord(b) - ord(a) for a, b in zip(low, low[1:])} in ({1}, {-1}):
+            cost.append(math.log10(47 * len(s)))
+    return min(cost)
+
+
+def slow_cost(s):
+    best = [0.0]
+    for j in range(1, len(s) + 1):
+        best.append(min(best[i] + segment_cost(s[i:j]) + (secrets_scan.STEP if i else 0) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_cost_against_all_segmentations():
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(3000):
+        s = "".join(rnd.choices(rnd.choice(["ab", "abc1", "qwesda", "2019-05", "passwordS", "123qwe", "aA", "xyzab"]), k=rnd.randint(0, 16)))
+        want = slow_cost(s)
+        assert secrets_scan.guess_cost(s, FEW, DATES) == pytest.approx(want)
+        for enough in (2.0, 6.0):
+            assert (secrets_scan.guess_cost(s, FEW, DATES, enough) >= enough) == (want >= enough)
+
+
 def test_guess_cost():
-    p = secrets_scan.patterns()["date"]
-    words = {w: i + 1 for i, w in enumerate(secrets_scan.WORDS)}
-    cost = lambda s: secrets_scan.guess_cost(s, words, p)
-    assert cost("password") < 1 and cost("xxxxxxxxxxxx") < 4 and cost("qwertyuiop") < 4 and cost("2024-05-17") < 5 and cost("changeme2024") < 8
-    assert cost("kT9$wq!zL04vBx") > 12 and cost("") == 0
-    assert cost("passwordpassword") <= 2 * cost("password") + 0.4
-    scan = secrets_scan.scanner()
+    words = secrets_scan.frequent_words(vocabulary())
+    cost = lambda s: secrets_scan.guess_cost(s, words, DATES)
+    assert len(words) > 10_000 and words["river"] > words["password"]
+    assert cost("password") < 1 and cost("x" * 12) < 4 and cost("qwertyuiop") < 4 and cost("2024-05-17") < 5 and cost("changeme2024") < 8
+    assert cost("x" * 5000) < 7 and cost("*" * 80) < 5 and cost("abc" * 400) < 8 and cost("mississippiriver") < 8
+    assert cost("kT9$wq!zL04vBx") > 12 and cost("correcthorsebatterystaple") > 12 and cost("") == 0
+    scan = secrets_scan.scanner(words=words)
     assert [k for _, k, _ in scan("passphrase is kT9$wq!zL04vBx")] == [3]
-    assert scan("passphrase is changeme2024") == [] and scan("") == []
+    for text in ("passphrase is changeme2024", "password is " + "x" * 80, "bearer: " + "*" * 600, "token is mississippiriver", ""):
+        assert scan(text) == []
+
+
+def test_planted_values():
+    """Of random values in contexts all are found; of masks, dates and words none."""
+    import random
+
+    rnd = random.Random(8)
+    scan = secrets_scan.scanner(words=secrets_scan.frequent_words(vocabulary()))
+    for _ in range(200):
+        value = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&", k=rnd.randint(12, 60)))
+        key = rnd.choice(["passphrase: ", "bearer=", "private_key = ", "credential is "])
+        assert (len(key) + 4, 3, len(key) + 4 + len(value)) in scan(f"the {key}{value} end")
+        mask = rnd.choice(["*", "x", "xy", "-="]) * rnd.randint(6, 90)
+        plain = rnd.choice([mask, "qwertyuiop", "welcome", "2024-01-02", "changeme", "examplepassword"])
+        assert scan(f"the {key}{plain} end") == []
+
+
+def test_long_values():
+    """A value of any length is one span, also if only what follows its first 256 characters is costly."""
+    scan = secrets_scan.scanner()
+    costly = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:7].upper() + "_" for i in range(100))
+    for value in (costly, "abc" * 8 + costly, "password" * 3 + "x" * 20 + costly, "a" * 300 + costly):
+        assert [x for x in scan(f"see bearer={value} end") if x[1] == 3] == [(11, 3, 11 + len(value))]
 
 
 def test_language_on_rows_held_out(spark):
@@ -157,16 +222,3 @@ def test_language_learns_nothing_from_rows_held_out(spark):
     assert names == ["en"]
     with pytest.raises(ValueError):
         language_id.train(cases.docs(spark, [(i, "x", f"l{i}", "a") for i in range(3000)]))
-
-
-def test_long_values():
-    """A value of any length is one span, also if only what follows its first 256 characters is costly."""
-    scan = secrets_scan.scanner()
-    costly = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:7].upper() + "_" for i in range(100))
-    for value in (costly, "abc" * 8 + costly, "password" * 3 + "x" * 20 + costly, "a" * 300 + costly):
-        assert [x for x in scan(f"see bearer={value} end") if x[1] == 3] == [(11, 3, 11 + len(value))]
-    p, words = secrets_scan.patterns()["date"], {w: i + 1 for i, w in enumerate(secrets_scan.WORDS)}
-    for value in ("password2024-01-02qwerty", "xxxxxxxxab", costly[:30], "Zq9_xK2.vv"):
-        cost = secrets_scan.guess_cost(value, words, p)
-        for enough in (1.0, 4.0, 8.0):
-            assert (secrets_scan.guess_cost(value, words, p, enough=enough) >= enough) == (cost >= enough)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, language_id, line_dedup, mixing, quality, url_rules
 from .common import table
 from .exact_dedup import exact_duplicates
-from .secrets_scan import secret_spans, span_digest
+from .secrets_scan import frequent_words, secret_spans, span_digest
 from .simhash import simhash_components
 from .token_counts import token_counts, vocabulary
 
@@ -48,7 +48,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digest(secret_spans(table(spark, sf_dir, "documents")))
+    words = frequent_words(vocabulary("byte_bpe_50k.json"))
+    return span_digest(secret_spans(table(spark, sf_dir, "documents"), words=words))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
