@@ -107,21 +107,53 @@ def test_near_duplicates_find_similar_texts(spark, small_dir):
     assert sum(got[i + 1] == got[i] for i, _ in rows) >= 0.97 * len(rows)
 
 
-def test_near_duplicates_within_a_family(spark):
-    """The head of a slice group is mostly another text of the family; the copy behind it is found all the same."""
-    rows, due = [], []
-    bits = lambda t: [int(x) & 2**64 - 1 for x in simhash.fingerprint(t.encode(), 5, 8)]
-    for i in range(0, 8000, 10):
-        w = [f"s{k}" for k in range(190)] + [f"t{i}x{k}" for k in range(60)]
-        pair = " ".join(w), " ".join([*w[:210], *(f"c{i}x{k}" for k in range(16)), *w[226:]])
-        rows += [(i, pair[0]), (i + 1, pair[1])]
-        xor = [a ^ b for a, b in zip(*map(bits, pair))]
-        close = any((x >> h & 2**32 - 1).bit_count() <= 2 for x in xor[:6] for h in (0, 32))
-        if close and sum(x.bit_count() for x in xor) <= 86:
-            due.append(i)
-    got = {r.row_id: r.component for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, "row_id long, text string")).collect()}
-    assert len(due) > 600 and [i for i in due if got[i] != got[i + 1]] == []
-    assert len(set(got.values())) >= 700  # other texts of the family have a similarity of 0.6
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_duplicates_by_bands_of_similarity(spark):
+    """Of planted pairs of each band at least 0.9 are linked, also within a family whose texts share most of their words; none below 0.8."""
+    import random
+
+    rnd = random.Random(11)
+    for shared in (0, 150):
+        rows, bands = [], defaultdict(list)
+        for i in range(0, 9000, 10):
+            w = [f"s{k}" for k in range(shared)] + [f"t{i}x{k}" for k in range(250 - shared)]
+            changed = list(w)
+            for part in range(rnd.choice([1, 2, 3])):
+                at, n = rnd.randrange(shared, 240), rnd.randint(1, 14)
+                changed[at : at + n] = [f"c{i}x{part}x{k}" for k in range(n)]
+            pair = " ".join(w), " ".join(changed)
+            rows += [(i, pair[0]), (i + 1, pair[1])]
+            j = jaccard(*pair)
+            bands[0.8 if j < 0.85 else 0.85 if j < 0.9 else 0.9].append(i) if j >= 0.8 else bands[0].append(i)
+        got = {r.row_id: r.component for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, "row_id long, text string")).collect()}
+        found = {b: sum(got[i] == got[i + 1] for i in own) / len(own) for b, own in bands.items()}
+        assert all(len(own) > 60 for own in bands.values())
+        assert found[0] == 0 and found[0.8] >= 0.9 and found[0.85] >= 0.97 and found[0.9] >= 0.99, found
+        assert len(set(got.values())) == 2 * 900 - sum(round(found[b] * len(bands[b])) for b in found)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aAbBcé \t\n\x0b  ", max_size=40), max_size=6), st.sampled_from([8, 64, 1 << 16]))
+def test_sets_of_shingles(texts, block):
+    """As many distinct hashes as distinct runs of five words; the same ones whatever the block and the other texts."""
+    import numpy as np
+
+    texts = [t.encode() for t in texts] + [b"one two three four five six " * 40 + b"long" * 30]
+    whole, kept = simhash.Shingler(5)(texts), simhash.TEXT
+    try:
+        simhash.TEXT = block
+        other = [simhash.Shingler(5)([t])[0] for t in texts]
+    finally:
+        simhash.TEXT = kept
+    for t, own, again in zip(texts, whole, other):
+        w = t.lower().split()
+        n = min(5, len(w))
+        assert len(own) == len({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+        assert block == 8 or max(map(len, w), default=0) >= block or np.array_equal(own, again)
 
 
 def test_links_within_blocks(spark, monkeypatch):

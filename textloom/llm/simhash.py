@@ -13,16 +13,27 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import connected_components, if_small, materialize
+from .common import connected_components, discard, if_small, materialize, quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Shingles that are hashed and added up at once; bounds the memory for very long texts.
 BLOCK = 1 << 13
+#: Bytes whose words are hashed in one sum, and distinct shingles that count as one member where texts are dealt to blocks.
+TEXT, SHINGLES = 1 << 16, 1 << 12
 #: Members of a group that are compared in one task; those of a larger group are dealt to blocks, and each two blocks meet.
 MEMBERS = 2048
 
 
+def mixed(h):
+    """uint64 values mixed bit by bit; one to one."""
+    import numpy as np
+
+    m = h * np.uint64(0xBF58476D1CE4E5B9)
+    m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return m ^ (m >> np.uint64(31))
+
+
 def bit_counts(hashes, words: int):
     """How often each of the 64 * words bits is set; hashes: uint64. Word k > 0 is the hash mixed again."""
     import numpy as np
@@ -31,10 +42,11 @@ def bit_counts(hashes, words: int):
     if words > 1:
         k = np.arange(1, words, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            m = (h[:, 1:] ^ (k * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-            m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h[:, 1:] = m ^ (m >> np.uint64(31))
-    return np.unpackbits(np.ascontiguousarray(h, dtype="<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h[:, 1:] = mixed(h[:, 1:] ^ (k * np.uint64(0x9E3779B97F4A7C15)))
+    bits = np.unpackbits(np.ascontiguousarray(h, dtype="<u8").view(np.uint8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte, which is several times faster
+    total = bits[whole:].sum(axis=0, dtype=np.int64)
+    return total + bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
 
 
 def shingle_hashes(text: bytes, shingle: int):
@@ -71,7 +83,7 @@ def fingerprint(text: bytes, shingle: int, words: int = 1):
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and fp_0 .. fp_<words-1> (long) of each row; null or wordless text has all zeros."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
 
     def run(batches):
         import numpy as np
@@ -86,26 +98,104 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, text: str =
     return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"fp_{k} long" for k in range(words))]))
 
 
-def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """row_id, shingles (sorted hashes of the distinct shingles), node (a hash of them) and fp (SimHash of them) of docs(row_id, text)."""
+class Shingler:
+    """From texts to the sorted distinct 64-bit hashes of each one's shingles (of all words, if they are fewer), in numpy.
 
-    def run(batches):
+    A word's hash is the sum of its bytes' values times powers of an odd number, mixed: sums over a block are added up
+    once, and a word's own part is brought down by the inverse power of its place. A shingle's hash is its words' hashes,
+    mixed in order. Separators are the six ASCII spaces; A-Z are lower-cased.
+    """
+
+    def __init__(self, shingle: int):
+        import numpy as np
+
+        self.shingle = shingle
+        with np.errstate(over="ignore"):
+            self.values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            powers = np.full((2, TEXT + 1), [[0x9E3779B97F4A7C15], [pow(0x9E3779B97F4A7C15, -1, 1 << 64)]], np.uint64)
+            powers[:, 0] = 1
+            self.up, self.down = np.cumprod(powers, axis=1, dtype=np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[list(b" \t\n\x0b\x0c\r")] = True
+        self.values[self.space] = 0
+
+    def words(self, text: bytes):
+        """Hashes of the words and where they start, in order. Cut into blocks between words; a word longer than a block is hashed alone."""
+        import numpy as np
+        import xxhash
+
+        b, at, hashes, places = np.frombuffer(text.lower(), np.uint8), 0, [], []
+        while at < len(b):
+            apart = self.space[b[at : at + TEXT]]
+            if len(apart) == TEXT and not apart[-1]:
+                if not apart.any():
+                    rest = np.flatnonzero(self.space[b[at + TEXT :]])
+                    end = at + TEXT + int(rest[0]) if len(rest) else len(b)
+                    hashes.append(np.array([xxhash.xxh64_intdigest(b[at:end].tobytes())], np.uint64))
+                    places.append(np.array([at]))
+                    at = end
+                    continue
+                apart = apart[: int(np.flatnonzero(apart)[-1]) + 1]
+            edge = np.flatnonzero(np.diff(apart, prepend=True, append=True))
+            starts, ends = edge[::2], edge[1::2]
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(apart) + 1, np.uint64)
+                np.cumsum(self.values[b[at : at + len(apart)]] * self.up[: len(apart)], out=sums[1:])
+                hashes.append(mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)))
+            places.append(starts + at)
+            at += len(apart)
+        return np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *places])
+
+    def joined(self, own, size: int):
+        """Hashes of all runs of that many words."""
+        import numpy as np
+
+        n, h = len(own) - size + 1, np.uint64(size)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                h = mixed((h ^ own[k : k + n]) + np.uint64(0x9E3779B97F4A7C15))
+        return h
+
+    def __call__(self, texts: list[bytes]) -> list:
+        """The sets of the texts, which are hashed together in runs of about a block."""
+        out, run, size = [], [], 0
+        for t in texts:
+            run.append(t)
+            size += len(t)
+            if size >= TEXT:
+                out += self._sets(run)
+                run, size = [], 0
+        return out + self._sets(run)
+
+    def _sets(self, texts: list[bytes]) -> list:
         import numpy as np
+
+        own, places = self.words(b"\n".join(texts))
+        cuts = np.searchsorted(places, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        every = self.joined(own, self.shingle) if len(own) >= self.shingle else own[:0]
+        short = lambda a, b: self.joined(own[a:b], b - a) if b > a else own[:0]
+        return [np.unique(every[a : b - self.shingle + 1]) if b - a >= self.shingle else short(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """row_id, node (128-bit hash of the set of distinct shingles), n (their number) and fp (SimHash of them) of docs(row_id, text)."""
+
+    def run(batches):
         import pyarrow as pa
         import xxhash
 
+        distinct = Shingler(shingle)
         for b in batches:
-            sets, fps, nodes = [], [], []
-            for t in b.column("text").cast(pa.binary()):
-                own = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t.as_py() or b"", shingle)]))
-                sets.append(own.view(np.int64))
+            fps, nodes, sizes = [], [], []
+            for own in distinct([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]):
+                sizes.append(len(own))
                 fps.append(majority((own[i : i + BLOCK] for i in range(0, len(own), BLOCK)), words))
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
-            values = [pa.array(sets, pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), *values], ["row_id", "shingles", "node", "fp"])
+                nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
+            values = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), *values], ["row_id", "node", "n", "fp"])
 
     rows = docs.select("row_id", "text")
-    return rows.mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, shingles array<long>, node long, fp array<long>")
+    return rows.mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, node binary, n long, fp array<long>")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -118,7 +208,8 @@ def ball_groups(keys: DataFrame, bits: int = 64) -> DataFrame:
     Each value emits all variants within half the radius (bits + 1 rows of fixed width). Any two values within distance 2
     share a group, any two of a group are within distance 2, and a group has at most bits + 1 values.
     """
-    spread = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # small rows that become many
+    # small rows that become many; dealt by other than the bare key, or the exchange would be merged with the one before
+    spread = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("key", F.lit(1)))
     emitted = spread.select("key", F.explode(F.array(*[F.lit(i) for i in range(-1, bits)])).alias("pos"))
     flip = F.expr("if(pos < 0, 0L, shiftleft(1L, pos))")
     groups = (
@@ -187,15 +278,15 @@ def links_within(rows: DataFrame, column: str, linked) -> DataFrame:
             for a, b in zip([0, *cuts], [*cuts, len(nodes)]):
                 if b - a > 1:
                     found += components(nodes[a:b], values.slice(a, b - a))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], table.schema.field("node").type) for k in (0, 1)], ["u", "v"])
 
         held = []  # batches of which the last group may go on
         last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            group, pair = b.column("group").to_numpy(), b.column("pair").to_numpy()
-            new = (group != (last[0] if last else group[0] - 1)) | (pair != (last[1] if last else 0))
+            group, pair = b.column("group").to_numpy(zero_copy_only=False), b.column("pair").to_numpy()
+            new = (group != last[0]) | (pair != last[1]) if last else np.ones(len(group), bool)
             tail = (group == group[-1]) & (pair == pair[-1])
             last = (group[-1], pair[-1])
             if not new.any():
@@ -210,7 +301,8 @@ def links_within(rows: DataFrame, column: str, linked) -> DataFrame:
             yield links(pa.Table.from_batches(held))
 
     spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "pair")
-    return spread.sortWithinPartitions("group", "pair").select("group", "pair", "node", column).mapInArrow(run, "u long, v long")
+    kind = rows.schema["node"].dataType.simpleString()
+    return spread.sortWithinPartitions("group", "pair").select("group", "pair", "node", column).mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def within_bits(most: int):
@@ -225,6 +317,20 @@ def within_bits(most: int):
     return linked
 
 
+def of_shingles(similarity: float, shingle: int):
+    """For links_within: texts whose sets of shingles have at least that Jaccard similarity."""
+    near = within_jaccard(similarity)
+
+    def linked(values):
+        import numpy as np
+        import pyarrow as pa
+
+        distinct = Shingler(shingle)
+        return near(pa.array([x.view(np.int64) for x in distinct([t or b"" for t in values.cast(pa.binary()).to_pylist()])], pa.list_(pa.int64())))
+
+    return linked
+
+
 def within_jaccard(similarity: float):
     """For links_within: sets (lists of distinct hashes) of at least that Jaccard similarity."""
 
@@ -273,7 +379,7 @@ def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3) -
     return fps.join(of_node, fps.fp_0 == of_node.key).select("doc_id", F.lower(F.lpad(F.hex("fp_0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, slices: int = 12) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, slices: int = 20) -> DataFrame:
     """row_id and component (smallest row_id reachable) of docs(row_id, text), for shingle sets of the given similarity.
 
     Each distinct shingle counts once, and rows with equal sets are one node. 64 * words bits of SimHash find candidates;
@@ -281,31 +387,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     within each slice) and all bits together differ by no more than the similarity allows: a Jaccard similarity j is a
     cosine of 2j/(1+j) or more, and the share of differing bits is its angle over pi; three standard deviations of that
     estimate are added. Every two members of a slice value or variant meet within a task unless links join them already;
-    large groups are dealt to blocks, and each two blocks meet. The sets of nodes that candidates join meet in the same
-    way, once for each component of candidates, and are linked by their exact Jaccard similarity.
+    large groups are dealt to blocks, and each two blocks meet. The texts of nodes that candidates join meet in the same
+    way, once for each component of candidates, and are linked by the exact Jaccard similarity of their sets.
+
+    Null and wordless texts have the empty set and are one node; rows that repeat a row_id get the same component; null
+    ids are passed over as the smallest unless a component has no others; an empty table gives an empty one.
     """
     import math
 
     bits = 64 * words
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
-    sets = materialize(spark, shingle_sets(docs, shingle, words), "shingle-sets")
-    whole = materialize(spark, sets.groupBy("node").agg(F.min("row_id").alias("row"), F.first("fp").alias("fp")), "distinct-sets")
+    sets = materialize(spark, set_fingerprints(docs, shingle, words), "set-fingerprints")
+    whole = materialize(spark, sets.groupBy("node").agg(F.min("row_id").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct-sets")
     parts = [F.expr(f"shiftleft({n}L, 32) | (shiftright(fp[{n // 2}], {32 * (n % 2)}) & 4294967295L)") for n in range(slices)]
     sliced = whole.select("node", F.explode(F.array(*parts)).alias("key"))
     counted = materialize(spark, sliced.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "slice-values")
     near = ball_groups(counted.select("key"), 32).select(F.col("variant").alias("group"), F.explode("all").alias("key"))
     same = counted.where("n > 1").select(F.expr("key | shiftleft(1L, 60)").alias("group"), "key")
-    meet = if_small(materialize(spark, near.unionByName(same), "slice-groups"))
+    groups = materialize(spark, near.unionByName(same), "slice-groups")
+    meet = if_small(groups)
     sizes = materialize(spark, counted.join(meet, "key").groupBy("group").agg(F.sum("n").alias("size")), "group-sizes")
     members = materialize(spark, in_blocks(sliced.join(meet, "key").select("group", "node"), sizes), "group-members")
     candidates = links_within(members.join(whole.select("node", "fp"), "node"), "fp", within_bits(most)).distinct()
     joined = materialize(spark, connected_components(spark, candidates, "candidates").select("node", F.col("root").alias("group")), "candidate-groups")
-    dealt = in_blocks(joined, joined.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
-    least = if_small(materialize(spark, dealt.join(whole.select("node", "row"), "node"), "candidate-rows"))
-    compared = sets.select("row_id", "node", "shingles").join(least, "node").where(F.col("row_id").eqNullSafe(F.col("row")))
-    edges = links_within(compared, "shingles", within_jaccard(similarity)).distinct()
-    roots = connected_components(spark, edges, "near-components")
+    discard(spark, counted, groups, sizes, members)
+    joined = joined.join(whole.select("node", "row", "n"), "node")
+    weights = joined.groupBy("group").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / SHINGLES)).alias("size"))
+    dealt = materialize(spark, in_blocks(joined, weights).select("group", "pair", "node", "row"), "candidate-rows")
+    texts = docs.select("row_id", "text").join(if_small(dealt.select("row").distinct()), F.col("row_id").eqNullSafe(F.col("row"))).groupBy("row").agg(F.first("text").alias("text"))
+    compared = dealt.join(texts, dealt.row.eqNullSafe(texts.row)).select("group", "pair", "node", "text")
+    roots = connected_components(spark, links_within(compared, "text", of_shingles(similarity, shingle)).distinct(), "near-components")
+    discard(spark, dealt)
     linked = whole.select("node", "row").join(roots, "node")
     tops = linked.groupBy("root").agg(F.min("row").alias("top"))
     of_node = linked.join(tops, "root").select("node", "top")
