@@ -20,6 +20,19 @@ def docs(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame([(i, t, lang, src, len(t or ""), *["clash", 7, 3, "w", "s", "h", "sc", "sp", "pl"]) for i, t, lang, src in rows], SCHEMA)
 
 
+#: Names that operators use inside; none may disturb them, and stages pass them on.
+INSIDE = """id own drop _id _own _drop _k _key _mixed _lines copies words n_lines n_removed lines w h h1 h2 k place taken target source_size row term pos start items
+window bucket entry depth prefix node component row_id fp fp_0 n group pair root top a.b""".split()
+
+
+def with_names(docs: DataFrame) -> DataFrame:
+    """docs and a column of each such name, numbers and strings by turns."""
+    from pyspark.sql import functions as F
+
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return plain.select("*", *[(F.lit(k) if k % 2 else F.lit(f"v{k}")).alias(c) for k, c in enumerate(INSIDE)])
+
+
 def union_find(pairs, nodes):
     parent = {n: n for n in nodes}
 

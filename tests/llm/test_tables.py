@@ -103,6 +103,16 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(spark, docs.limit(0)).count() == 0
 
 
+def test_other_columns_are_passed_on(spark):
+    named = cases.with_names(cases.docs(spark))
+    got = line_dedup.dedup_lines(spark, named)
+    assert sorted(got.columns) == sorted(named.columns)
+    left = got.toPandas()
+    assert all((left[c] == (k if k % 2 else f"v{k}")).all() for k, c in enumerate(cases.INSIDE) if c not in ("n_lines", "n_removed"))
+    for rows in (exact_dedup.exact_duplicates(spark, named), mixing.mix(spark, named), decontaminate.contamination(spark, named, named.select(F.col("doc_id").alias("item_id"), "text", "terms" if "terms" in named.columns else "w"))):
+        assert rows.count() == len(cases.TEXTS)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 words = lambda t: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize
+from .common import materialize, quoted, unused
 
 WINDOW = 3
 
@@ -18,10 +18,11 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, text: str = "text", d
 
     The windows are written once; counting them and finding their later occurrences both read that table. Windows are
     reduced to their first occurrence within tasks before they meet, and only repeated ones are joined back, on the
-    windows' side of a join that Spark may split.
+    windows' side of a join that Spark may split. Windows are told apart by 96 bits of two hashes and aren't compared line
+    by line: among 10^12 different ones the chance that any two agree is under 10^-4.
     """
     words = F.filter(F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).select("id", F.xxhash64("t").alias("own"), words.alias("l"))
+    rows = docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("t")).select("id", F.xxhash64("t").alias("own"), words.alias("l"))
     at = lambda k, j: F.col("l")[k + j]
     window = lambda k: F.struct(
         F.xxhash64(*[at(k, j)["x"] for j in range(WINDOW)]).alias("h1"), F.hash(*[at(k, j)["x"] for j in range(WINDOW)], F.lit(7)).alias("h2"), F.array(*[at(k, j)["i"] for j in range(WINDOW)]).alias("lines")
@@ -34,24 +35,25 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, text: str = "text", d
     return later.select("id", "own", "lines")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the columns of `text` replaced, n_lines and n_removed added (both count all lines, blank ones too).
+def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the column `text` replaced, and two counts added under the given names: all lines, blank ones too, and removed lines.
 
     Blank lines are in no window and always stay. Documents of fewer than three non-blank lines, null and empty texts are
     left as they are (a null text has no lines). Rows that repeat both id and text are one document and get the same
-    result; null ids come first in order. Columns named n_lines or n_removed are replaced.
+    result; null ids come first in order; an empty table gives an empty one. Of other columns, those with the names of the
+    counts are replaced; all others, whatever their names, are passed on.
     """
+    n_lines, n_removed = counts
+    id_, own_, drop_ = unused(docs, "id", "own", "drop")
     drop = repeated_windows(spark, docs, text, doc_id).groupBy("id", "own").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("drop"))
-    drop = drop.select(F.col("id").alias("_id"), F.col("own").alias("_own"), F.col("drop").alias("_drop"))
-    joined = docs.join(drop, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_own")), "left")
-    lines = F.split(F.col(text), "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    cut = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), lines)).withColumn(
-        "n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    )
-    cut = cut.withColumn("n_removed", F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"))
-    left = F.array_join(F.transform(keep, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return cut.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(left)).drop("_id", "_own", "_drop", "_lines")
+    drop = drop.select(F.col("id").alias(id_), F.col("own").alias(own_), F.col("drop").alias(drop_))
+    body, gone = quoted(text), F.col(drop_)
+    joined = docs.join(drop, quoted(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col(own_)), "left")
+    lines = F.split(body, "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
+    cut = F.when(gone.isNull(), body).otherwise(left).alias(text)
+    others = [cut if c == text else quoted(c) for c in docs.columns if c.lower() not in (n_lines.lower(), n_removed.lower())]
+    return joined.select(*others, F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_lines), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias(n_removed))
 
 
 ORACLE_SQL = """

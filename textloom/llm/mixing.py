@@ -1,9 +1,9 @@
 """Mixing sources to target weights, by hash-threshold histograms.
 
-A document's place is the MD5 of its id. Each source takes whole copies of all its documents and then, for what is left
+A document's place is the MD5 of its id, or of its text if it has none. Each source takes whole copies of all its documents and then, for what is left
 of its target, the documents below a threshold. The threshold is found without sorting: sizes are summed by source and
 leading hash digits, the digits at which the budget runs out are the boundary bucket, and only that bucket is refined by
-further digits. A document at the boundary that doesn't fit is passed over, and the rest of the budget is spent behind it
+further digits. What stands at the boundary doesn't fit and is passed over, and the rest of the budget is spent behind it
 by the same search (nested budgets), so that one long document doesn't leave a source short.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import materialize
+from .common import discard, materialize, quoted
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Hash digits per refinement, refinements per search, searches per source; sources whose thresholds may be broadcast.
@@ -29,7 +29,7 @@ def target_sizes(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     Weights repeat over the sources in order (nulls last); targets share all sizes by weight and stop at `most` times the
     source's size. Sharing the excess again and again ends where every source below its stop gets level * weight; with
     sources sorted by the level at which they stop, that level is the largest of what is left over the weights left.
-    One row per source goes through these windows.
+    One row per source goes through these windows, in one task: right for some ten million sources, not for more.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -46,13 +46,14 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     """doc_id, size, source_size, target and taken of each row; taken is a multiple of size, at most `most` times it.
 
     Size is the number of words, 0 for null text; such rows have taken 0. A null source is a source of its own. Rows
-    that repeat an id share a place and are taken or left together. The result depends on the rows alone, so reruns
-    agree. A hot source is summed within tasks first; rows meet a table of one row per source, which is broadcast only
+    that repeat an id, or a text without id, share a place and are taken or left together. The result depends on the rows alone, so reruns
+    agree; an empty table gives an empty one, and other columns, whatever their names, aren't read. A hot source is summed within tasks first; rows meet a table of one row per source, which is broadcast only
     if a count shows it small.
     """
-    own = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("_"), F.col(source)))
-    place = F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
-    rows = materialize(spark, docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), own.alias("k"), word_count(F.col(text)).alias("size"), place.alias("place")), "sizes")
+    own = F.when(quoted(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("_"), quoted(source)))
+    told = F.coalesce(quoted(doc_id).cast("string"), F.concat(F.lit(" "), quoted(text)), F.lit(""))
+    place = F.substring(F.md5(told.cast("binary")), 1, DIGITS * LEVELS)
+    rows = materialize(spark, docs.select(quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), own.alias("k"), word_count(quoted(text)).alias("size"), place.alias("place")), "sizes")
     by_source = rows.groupBy("k").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
     targets = materialize(spark, target_sizes(by_source, weights, most), "targets")
     small = targets.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
@@ -63,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     for p in range(PASSES):
         state = plan.select("k", F.col(f"from_{p}").alias("start"), F.col(f"left_{p}").alias("fits"), F.col(f"left_{p}").alias("budget"), F.lit("").alias("prefix"))
         for n in range(1, LEVELS + 1):
-            inside = rows.join(per_source(state), "k").where("size > 0 AND size <= fits AND place >= start").where(F.substring("place", 1, DIGITS * (n - 1)) == F.col("prefix"))
+            inside = rows.join(per_source(state), "k").where("size > 0 AND size <= fits AND place > start").where(F.substring("place", 1, DIGITS * (n - 1)) == F.col("prefix"))
             sums = inside.groupBy("k", F.substring("place", 1, DIGITS * n).alias("bucket")).agg(F.sum("size").alias("words"), *(F.max(c).alias(c) for c in ("budget", "start", "fits")))
             so_far = F.sum("words").over(W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
             over = sums.withColumn("rest", F.col("budget") - (so_far - F.col("words"))).where("rest < words")
@@ -71,10 +72,11 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
         found = state.select("k", F.col("prefix").alias("to"), F.col("budget").alias("rest"))
         # a source without a boundary has taken all that can fit: nothing is left for a later search
         plan = plan.join(per_source(found), "k", "left").withColumn(f"from_{p + 1}", F.coalesce("to", F.lit("g"))).withColumn(f"left_{p + 1}", F.coalesce("rest", F.lit(0).cast("long"))).drop("to", "rest")
-        plan = materialize(spark, plan, "thresholds")
+        former, plan = plan, materialize(spark, plan, "thresholds")
+        discard(spark, former)
     chosen = F.lit(False)
     for p in range(PASSES):
-        chosen = chosen | ((F.col("size") <= F.col(f"left_{p}")) & (F.col("place") >= F.col(f"from_{p}")) & (F.col("place") < F.col(f"from_{p + 1}")))
+        chosen = chosen | ((F.col("size") <= F.col(f"left_{p}")) & (F.col("place") > F.col(f"from_{p}")) & (F.col("place") < F.col(f"from_{p + 1}")))
     taken = F.col("size") * (F.col("copies") + F.when(chosen, 1).otherwise(0))
     return rows.join(per_source(plan.drop("source")), "k").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -84,16 +86,16 @@ def oracle_sql() -> str:
     passes = ""
     for p in range(PASSES):
         passes += f""",
-c{p} AS (SELECT r.k, place, sum(size) AS words FROM r JOIN p{p} USING (k) WHERE size > 0 AND size <= left_{p} AND place >= from_{p} GROUP BY r.k, place),
+c{p} AS (SELECT r.k, place, sum(size) AS words FROM r JOIN p{p} USING (k) WHERE size > 0 AND size <= left_{p} AND place > from_{p} GROUP BY r.k, place),
 s{p} AS (SELECT *, sum(words) OVER (PARTITION BY k ORDER BY place) AS so_far FROM c{p}),
 e{p} AS (SELECT s.k, min(CASE WHEN so_far > left_{p} THEN place END) AS edge,
   sum(CASE WHEN so_far <= left_{p} THEN words ELSE 0 END) AS used FROM s{p} s JOIN p{p} USING (k) GROUP BY s.k),
 p{p + 1} AS (SELECT p.*, coalesce(e.edge, 'g') AS from_{p + 1}, CASE WHEN e.k IS NULL THEN 0 ELSE left_{p} - e.used END AS left_{p + 1} FROM p{p} p LEFT JOIN e{p} e ON e.k = p.k)"""
-    chosen = " OR ".join(f"(size <= left_{p} AND place >= from_{p} AND place < from_{p + 1})" for p in range(PASSES))
+    chosen = " OR ".join(f"(size <= left_{p} AND place > from_{p} AND place < from_{p + 1})" for p in range(PASSES))
     return f"""
 WITH r AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '_' || source END AS k,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DIGITS * LEVELS}) AS place FROM documents),
+  substr(md5(coalesce(CAST(doc_id AS VARCHAR), ' ' || text, '')), 1, {DIGITS * LEVELS}) AS place FROM documents),
 b AS (SELECT k, max(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY k),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS stop FROM b),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

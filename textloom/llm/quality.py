@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out
+from .common import held_out, quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known.select("label_id")), F.col("doc_id") == F.col("label_id"), "left_semi")
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")).join(F.broadcast(known.select("label_id")), F.col("doc_id") == F.col("label_id"), "left_semi")
     found = _with_statistics(rows).groupBy("doc_id").agg(F.max("x").alias("x")).join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "x", "quality").toPandas()
     found = found.sort_values("doc_id")
     x = np.array(found["x"].tolist(), np.float32).reshape(-1, N_FEATURES)
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Trees, text: str = "text", doc_id: str = "do
     Null and empty texts are scored by the statistics of an empty text. Repeated rows get equal scores; labels,
     language, source and id aren't inputs.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
 
     def run(batches):
         import numpy as np
@@ -206,10 +206,10 @@ def predict(docs: DataFrame, model: Trees, text: str = "text", doc_id: str = "do
 
 
 def good_rows(docs: DataFrame, model: Trees, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs whose score is at least `least`, with all their columns."""
-    schema = docs.schema
+    """The rows of docs whose score is at least `least`, with all their columns, whatever their names; null texts are scored as empty."""
     names = docs.columns
     at = names.index(text)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # a name with a dot can't go through mapInArrow
 
     def run(batches):
         import numpy as np
@@ -219,4 +219,4 @@ def good_rows(docs: DataFrame, model: Trees, least: float = 0.5, text: str = "te
             x = np.array([statistics(t.as_py() or b"") for t in b.column(at).cast(pa.binary())], np.float32).reshape(-1, N_FEATURES)
             yield b.filter(pa.array(model.score(x) >= least))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
