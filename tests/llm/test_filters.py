@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tests import parity
@@ -48,6 +49,20 @@ def test_mined_rules(spark):
     assert (got[100], got[101], got[102]) == ("block", "allow", "allow")
 
 
+def test_mined_rules_hold_on_pages_held_back(spark):
+    """A section that is blocked among the pages mined and not among those held back gives no rule; long paths stay bounded."""
+    back = lambda i: hashlib.md5(str(i).encode()).hexdigest()[0] < "5"
+    long = "/".join(f"s{k}" for k in range(40))
+    urls = [(i, f"http://h{i % 5}.net/{['noise', 'ads', 'news', long][i % 4]}/{i}") for i in range(400)] + [(1000 + k, f"http://new.net/{x}/x") for k, x in enumerate(["noise", "ads", "news", long])]
+    bad = lambda i: [not back(i), True, False, True][i % 4]
+    labels = spark.createDataFrame([(i, 0 if bad(i) else 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark, pages, labels).collect()}
+    assert [got[1000 + k] for k in range(4)] == ["allow", "block", "allow", "block"]
+    rules = [set(r.antecedent) for r in url_rules.mine_rules(spark, pages, labels).collect()]
+    assert rules and not any(a < b for a in rules for b in rules) and not any("p:noise" in r for r in rules)
+
+
 def test_url_query_against_sql(spark, small_dir, duck):
     parity.assert_same(queries.op3_url_rules(spark, small_dir), duck, queries.oracle_sql()["op3_url_rules"])
 
@@ -220,5 +235,37 @@ def test_language_learns_nothing_from_rows_held_out(spark):
     rows = [(i, "aaa bbb" if out(i) else "zzz yyy", "xx" if out(i) else "en", "a") for i in range(30)]
     names, _ = language_id.train(cases.docs(spark, rows))
     assert names == ["en"]
+
+
+def test_many_languages(spark, monkeypatch):
+    """Buckets are halved to keep the matrix within bounds; only beyond that are languages too many."""
+    monkeypatch.setattr(language_id, "ENTRIES", 1 << 13)
+    monkeypatch.setattr(language_id, "LEAST", 1 << 6)
+    docs = cases.docs(spark, [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} " * 9, f"l{i % 100}", "a") for i in range(600)])
+    names, matrix = language_id.train(docs)
+    assert len(names) == 100 and matrix.shape == (65, 100)
+    assert sum(r.lang_pred == f"l{r.doc_id % 100}" for r in language_id.predict(docs, (names, matrix)).collect()) > 300
     with pytest.raises(ValueError):
-        language_id.train(cases.docs(spark, [(i, "x", f"l{i}", "a") for i in range(3000)]))
+        language_id.train(cases.docs(spark, [(i, "x", f"l{i}", "a") for i in range(400)]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abÉé Σσς1.\n中", max_size=50), max_size=7), st.sampled_from([1, 2, 3, 7]))
+def test_language_scores_against_sums(texts, block):
+    """The sparse product is the sum over a text's n-grams, one by one, wherever blocks cut it."""
+    rnd = np.random.default_rng(2)
+    matrix = rnd.normal(size=(257, 3)).astype(np.float32)
+    want = []
+    for t in texts:
+        ids = np.concatenate(list(language_id.ngram_buckets(t, 256)))
+        own = [c for c in language_id.codes(" " + t, 0)]
+        own += [32] if own[-1] != 32 else []
+        assert len(ids) == sum(c != 32 for c in own) + max(0, len(own) - 1) + max(0, len(own) - 2)
+        want.append(matrix[256].astype(float) + sum((matrix[i].astype(float) for i in ids), np.zeros(3)))
+    kept = language_id.BLOCK, language_id.GATHERED
+    try:
+        language_id.BLOCK, language_id.GATHERED = block, block * 3
+        got = language_id.log_scores(texts, matrix)
+    finally:
+        language_id.BLOCK, language_id.GATHERED = kept
+    assert np.allclose(got, np.array(want).reshape(-1, 3))

@@ -220,6 +220,16 @@ def test_mixing_meets_its_targets(spark):
             assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target + 1
 
 
+def test_mixing_of_rows_without_id(spark):
+    """Rows without id have places of their own, so a part of them can be taken."""
+    docs = cases.docs(spark, [(i if i % 3 else None, f"w{i} " * (1 + i % 5), "en", "abc"[i % 2]) for i in range(1200)])
+    rows = mixing.mix(spark, docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source_size, r.target].append(r.taken)
+    assert len(by) == 2 and all(abs(sum(own) - target) <= 0.01 * target for (_, target), own in by.items())
+
+
 def slow_targets(sizes, weights=(5, 2, 1), most=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(order)}

@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 
 from tests.llm import cases
 from textloom.llm.common import table
-from textloom.llm.token_counts import counter, safe_pieces, token_counts, vocabulary
+from textloom.llm.token_counts import _runs, counter, n_bytes, safe_pieces, token_counts, vocabulary
 
 VOCAB = vocabulary()
 WHOLE = Tokenizer.from_str(VOCAB)
@@ -39,6 +39,20 @@ def test_long_texts_are_cut_at_safe_places():
     assert counter(VOCAB, batch_bytes=500)([text, "", text[:100]]) == [slow(text), 0, slow(text[:100])]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB9é'sll!.,-_| \n　<中文。，İ́😀", max_size=60), st.sampled_from(["", "<|endoftext|>"]), st.integers(1, 12))
+def test_runs_of_any_text(text, special, size):
+    text = text + special + text
+    runs = list(_runs(text, size, ["<|endoftext|>"]))
+    assert "".join(runs) == text and sum(map(slow, runs)) == slow(text)
+
+
+def test_texts_without_spaces_are_cut():
+    for text in ("aGVsbG8gd29ybGQ0" * 3000, "中文字符，很长的文章。" * 3000):
+        runs = list(_runs(text, 1000))
+        assert max(map(n_bytes, runs)) < 1100 and counter(VOCAB, batch_bytes=1000)([text]) == [slow(text)]
+
+
 def test_memo_is_bounded():
     few = counter(VOCAB, memo=10)
     texts = [" ".join(f"w{i * j % 101}" for j in range(30)) for i in range(40)]

@@ -1,17 +1,20 @@
 """Token counts of whole texts, from a public tokenizer file.
 
-Batch encoding in an Arrow function that returns lengths only. Texts are cut at boundaries where the byte-level
-pre-tokenizer always starts a new piece (a single space between two visible characters), so the count of a text is the
+Batch encoding in an Arrow function that returns lengths only, with batches balanced by bytes. Texts are cut at boundaries
+where the byte-level pre-tokenizer always starts a new piece (mostly a single space between visible characters), so the count of a text is the
 sum over its pieces; the pieces of a batch are encoded once each and remembered between batches, in a bounded memo.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-import sys
+
+from .common import quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,6 +62,7 @@ def counter(tokenizer_json: str, batch_bytes: int = BATCH_BYTES, memo: int = MEM
     tok = Tokenizer.from_str(tokenizer_json)
     tok.no_truncation()
     tok.no_padding()
+    special = [x.content for x in tok.get_added_tokens_decoder().values()]
     encode = lambda texts: map(len, tok.encode_batch_fast(texts, add_special_tokens=False))
     young: dict[str, int | None] = {}  # of a word w: tokens of " " + w, or None where no cut may be made beside it
     old: dict[str, int | None] = {}
@@ -92,13 +96,14 @@ def counter(tokenizer_json: str, batch_bytes: int = BATCH_BYTES, memo: int = MEM
         some: list[str] = []
         size = 0
         for t in texts:
-            if len(t) > batch_bytes:  # a long text is counted on its own, in runs of whole pieces
+            n = n_bytes(t)
+            if n > batch_bytes:  # a long text is counted on its own, in runs of whole pieces
                 out += count(some)
                 some, size = [], 0
-                out.append(sum(sum(count([run])) for run in _runs(t, batch_bytes)))
+                out.append(sum(sum(count([run])) for run in _runs(t, batch_bytes, special)))
                 continue
             some.append(t)
-            size += len(t)
+            size += n
             if size >= batch_bytes:
                 out += count(some)
                 some, size = [], 0
@@ -107,17 +112,26 @@ def counter(tokenizer_json: str, batch_bytes: int = BATCH_BYTES, memo: int = MEM
     return balanced
 
 
-def _runs(text: str, size: int) -> Iterator[str]:
-    """Consecutive runs of about size characters, cut at safe boundaries only."""
-    start = 0
-    while len(text) - start > size:
-        cut = text.find(" ", start + size)
-        while 0 < cut < len(text) - 1 and not (_visible(text[cut - 1]) and _visible(text[cut + 1])):
-            cut = text.find(" ", cut + 1)
-        if not 0 < cut < len(text) - 1:
-            break
-        yield text[start:cut]
-        start = cut
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+#: Where a cut can't change the tokens: before a single space between visible characters; between an ASCII letter and a
+#: digit; after either of these, before other visible ASCII; between an ideograph and an ideographic or full-width stop or comma.
+SAFE = re.compile("(?<=[!-~\u00a1-\u167f])(?= [!-~\u00a1-\u167f])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@\\[-`{-~])|(?<=[\u4e00-\u9fff])(?=[\u3001\u3002\uff0c\uff01\uff1f])")
+
+
+def _runs(text: str, size: int, special: Iterable[str] = ()) -> Iterator[str]:
+    """Consecutive runs of about size bytes, cut at safe boundaries and in no special string; a run without any, one word to the tokenizer, is whole."""
+    width = max(1, size * len(text) // max(1, n_bytes(text)))
+    start, at = 0, width
+    while cut := SAFE.search(text, at):
+        at = cut.start()
+        if any(s in text[max(start, at - len(s) + 1) : at + len(s) - 1] for s in special):
+            at += 1
+            continue
+        yield text[start:at]
+        start, at = at, at + width
     yield text[start:]
 
 
@@ -128,7 +142,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 512, text: s
     Other columns, whatever their names, aren't read. Special strings inside a text are handled as the tokenizer file
     says. No shuffle: rows are counted where they are read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
 
     def run(batches):
         import pyarrow as pa
