@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import TfIdf
 from .corpus import KEY, term_counts
+from .storage import materialize
 
 
 def minmax(value: Column, by: list[str]) -> Column:
@@ -57,7 +58,7 @@ def tfidf_scores(sentence_rows: DataFrame, keyword_rows: DataFrame | None = None
     divided by how much longer than the mean the sentence is; sentences without terms score 0.
     """
     mode = mode or config.keywords_type
-    features = feature_max(tfidf(sentence_rows))
+    features = materialize(sentence_rows.sparkSession, feature_max(tfidf(sentence_rows)), "term-values")  # for the terms and the threshold
     terms = sentence_rows.select(*KEY, F.explode(F.array_distinct("tokens")).alias("term")).join(features, ["question_id", "term"])
     value = F.col("value")
     if mode == "weight":

@@ -12,13 +12,13 @@ def connected_components(spark: SparkSession, edges: DataFrame, name: str = "com
 
     Alternating large-star and small-star steps: a round ends in a written table, the number of rounds grows
     with the logarithm of the component's size, and every group is reduced to its minimum before rows meet.
-    Convergence is read off a count and a checksum; no link reaches the driver.
+    It ends once the links are stars around their smallest nodes, which one aggregate tells; no link reaches the driver.
     """
     now = materialize(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
-    before = mark(now)
+    side = lambda c, below: now.select(F.col(c).alias("x"), F.lit(below).alias("below"), F.lit(1 - below).alias("above"))
     for _ in range(rounds):
-        if not before[0]:
+        ends = side("u", 1).unionByName(side("v", 0)).groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if not ends.where("below > 1 OR below = 1 AND above = 1").limit(1).count():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,13 +26,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, name: str = "com
         root = large.groupBy("u").agg(F.min("v").alias("r"))
         pair = F.array(F.struct("u", F.col("r").alias("v")), F.struct(F.col("v").alias("u"), F.col("r").alias("v")))
         small = large.join(root, "u").select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        following = materialize(spark, small, name)
-        after = mark(following)
-        discard(spark, now)
-        now = following
-        if after == before:
-            break
-        before = after
+        former, now = now, materialize(spark, small, name)
+        discard(spark, former)
     else:
         raise RuntimeError(f"components did not converge in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -52,7 +47,7 @@ def decayed_walk(spark: SparkSession, seeds: DataFrame, edges: DataFrame, decay:
     reached = front
     while top * (1 - decay) >= least:
         front = front.join(steps, front.node == steps.a).select("seed", F.col("b").alias("node"), (F.col("weight") * F.col("share")).alias("weight")).where(F.col("weight") >= least)
-        front = front.groupBy("seed", "node").agg(F.max("weight").alias("weight"))
+        front = materialize(spark, front.groupBy("seed", "node").agg(F.max("weight").alias("weight")), "walk-front")  # the next step and the result read it
         reached = reached.unionByName(front)
         top *= 1 - decay
     return reached.groupBy("seed", "node").agg(F.max("weight").alias("weight"))

@@ -9,17 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Diversity
-from ..functions.similarity import dot, norm
+from ..functions.similarity import dot, let, norm
 
 
 def _unit(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n)))
 
 
 def mmr(rows: DataFrame, config: Diversity = Diversity(), group: str = "question_id", item: str = "item", order: str = "pos") -> DataFrame:
@@ -30,7 +24,7 @@ def mmr(rows: DataFrame, config: Diversity = Diversity(), group: str = "question
     is removed without counting as a pick. A group of fewer candidates than wanted is returned whole, in its order.
     """
     lam, n = config.balance, config.sentences
-    one = F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.col("text").alias("t"), _unit(F.col("vec")).alias("v"), F.round(dot(_unit(F.col("vec")), _unit(F.col("query_vec"))), 12).alias("q"))
+    one = let(_unit(F.col("vec")), lambda v: F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.col("text").alias("t"), v.alias("v"), F.round(let(_unit(F.col("query_vec")), lambda q: dot(v, q)), 12).alias("q")))
     groups = rows.groupBy(group).agg(F.array_sort(F.collect_list(one)).alias("c"))
     c = F.col("c")
     start = F.struct(F.array().cast("array<int>").alias("picked"), F.array().cast("array<int>").alias("gone"), F.transform(c, lambda x: F.lit(-2.0)).alias("mx"))
@@ -49,8 +43,8 @@ def mmr(rows: DataFrame, config: Diversity = Diversity(), group: str = "question
 
         done = (F.size(s["picked"]) >= n) | (F.size(s["gone"]) >= F.size(c))
         scores = F.transform(c, lambda x, i: score(s, x, i))
-        best = _let(scores, lambda sc: (F.array_position(sc, F.array_max(sc)) - 1).cast("int"))
-        return F.when(done, s).otherwise(_let(best, take))
+        best = let(scores, lambda sc: (F.array_position(sc, F.array_max(sc)) - 1).cast("int"))
+        return F.when(done, s).otherwise(let(best, take))
 
     whole = F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: i.cast("int"))
     fold = F.aggregate(F.sequence(F.lit(1), F.size(c)), start, step)

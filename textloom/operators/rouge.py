@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -31,16 +34,29 @@ def rouge_n(pairs: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table is kept, folded over a's tokens."""
+    """Length of the longest common subsequence of two lists of tokens.
+
+    A row of the table is one integer with a bit for each token of a, 0 where the length grows; a token of b moves all bits
+    at once by an addition. No built-in function keeps such a state, and a fold over arrays copies a row at every cell.
+    """
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_lcs(p, q) for p, q in zip(x, y)], dtype="int64")
 
-    def following(row, x):
-        def cell(done, j):
-            best = F.greatest(F.get(row, j + 1), F.element_at(done, -1), F.when(F.get(b, j) == x, F.get(row, j) + 1).otherwise(0))
-            return F.concat(done, F.array(best))
+    return run(a, b)
 
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), cell)).otherwise(row)
 
-    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), following), -1)
+def _lcs(a: Sequence[str], b: Sequence[str]) -> int:
+    places: dict[str, int] = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for t in b:
+        hit = row & places.get(t, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
 
 
 def rouge_l(pairs: DataFrame, key: str = "pair_id") -> DataFrame:

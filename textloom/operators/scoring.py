@@ -102,6 +102,11 @@ def fuse(scores: dict[str, DataFrame], weights: Fusion = Fusion()) -> DataFrame:
     return out.withColumn("final", minmax(fused({k: F.col(k) for k in scores}, weights), ["question_id"]))
 
 
-def score_column(kind: str) -> str | None:
-    """Column of a score kind; None for an unknown one."""
-    return {"final": "final", "tfidf": "tfidf", "lexrank": "lexrank", "query_base": "query", "ner": "keyword", "wRWMD": "mover"}.get(kind)
+SCORE_COLUMNS = {"final": "final", "tfidf": "tfidf", "lexrank": "lexrank", "query_base": "query", "ner": "keyword", "wRWMD": "mover"}
+
+
+def score_column(kind: str) -> str:
+    """Column of a score kind."""
+    if kind not in SCORE_COLUMNS:
+        raise ValueError(f"unknown score {kind!r}; one of {', '.join(SCORE_COLUMNS)}")
+    return SCORE_COLUMNS[kind]

@@ -27,17 +27,28 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: lis
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
+    fs, hadoop = _files(spark, path)
+    fs.deleteOnExit(hadoop)  # no table outlives the application
     return out
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """df over all cores if it comes in fewer partitions than there are cores (small files), else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+    """df over all cores if by the optimizer's estimate it is too small to fill their read partitions, else as it is. Nothing runs."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *by) if size < cores * each else df
 
 
-def discard(spark: SparkSession, df: DataFrame | None) -> None:
-    """Delete a materialized table that no later plan reads."""
-    if path := getattr(df, "_textloom_path", None):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_textloom_path", None):
+            fs, hadoop = _files(spark, path)
+            fs.delete(hadoop, True)

@@ -361,9 +361,23 @@ def summary_post_process(spark, sf_dir):
     return select.post_process(select.fill_gaps(_top(spark, sf_dir, Selection())), ["answer_pos", "sentence_id"])
 
 
+def _expansion(spark, sf_dir) -> dict:
+    """Regions and nations as the ontology, and the literal lexicon."""
+    nodes = _nodes(spark, sf_dir).where("node_id NOT LIKE 'S%'")
+    words, members, links = _lexicon(spark)
+    return {"ontology": ontology.Ontology(nodes, _edges(spark, sf_dir).where("child_id NOT LIKE 'S%'")), "lexicon": expand.Lexicon(words, members, links)}
+
+
+@_register()
+def expanded_keywords(spark, sf_dir):
+    """Questions' keywords with what the ontology and the lexicon add."""
+    rows, _ = expand.expanded_keywords(spark, _tagged(spark, sf_dir), **_expansion(spark, sf_dir))
+    return rows.select("question_id", "kw_pos", "keyword", *_r("weight"))
+
+
 @_register()
 def full_summary(spark, sf_dir):
-    return summarize(spark, _t(spark, sf_dir, "conversations"))
+    return summarize(spark, _t(spark, sf_dir, "conversations"), **_expansion(spark, sf_dir))
 
 
 # evaluation
@@ -611,18 +625,8 @@ def label_macro_average(spark, sf_dir):
     return rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
-@_register(
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49.5),
-both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), nodes AS (SELECT DISTINCT a AS n FROM both_ways),
-reach AS (SELECT n AS x, n AS y FROM nodes UNION SELECT r.x, b.b FROM reach r JOIN both_ways b ON b.a = r.y) SELECT x AS node, min(y) AS root FROM reach GROUP BY x"""
-)
+@_register()
 def bipartite_components(spark, sf_dir):
-    pairs = _t(spark, sf_dir, "lineitem").where("l_quantity >= 49.5").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("u"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("v"))
-    return graph.connected_components(spark, pairs)
-
-
-@_register(None)
-def bipartite_components_whole(spark, sf_dir):
     """The components over all of lineitem; a recursive closure in SQL grows with their square, so there is none."""
     pairs = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("u"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("v"))
     return graph.connected_components(spark, pairs)
