@@ -51,7 +51,7 @@ class Selection:
 @dataclass(frozen=True)
 class Diversity:
     balance: float = 0.85
-    sentences: int = 25
+    sentences: int | float = 25  # a float is a share of the candidates
     duplicate: float = 0.9
 
 

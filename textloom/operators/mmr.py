@@ -21,12 +21,14 @@ def mmr(rows: DataFrame, config: Diversity = Diversity(), group: str = "question
 
     Each step takes the candidate with the largest score, the first on ties: balance * similarity to the query, less
     (1 - balance) * largest similarity to a pick; 0 if that reaches `duplicate`. A candidate whose text was picked already
-    is removed without counting as a pick. A group of fewer candidates than wanted is returned whole, in its order.
+    is removed without counting as a pick. A group of fewer candidates than wanted is returned whole, in its order. A number
+    of sentences that is a float is a share of the group's candidates.
     """
-    lam, n = config.balance, config.sentences
+    lam = config.balance
     one = let(_unit(F.col("vec")), lambda v: F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.col("text").alias("t"), v.alias("v"), F.round(let(_unit(F.col("query_vec")), lambda q: dot(v, q)), 12).alias("q")))
     groups = rows.groupBy(group).agg(F.array_sort(F.collect_list(one)).alias("c"))
     c = F.col("c")
+    n = F.floor(F.size(c) * F.lit(config.sentences)).cast("int") if isinstance(config.sentences, float) else F.lit(config.sentences)
     start = F.struct(F.array().cast("array<int>").alias("picked"), F.array().cast("array<int>").alias("gone"), F.transform(c, lambda x: F.lit(-2.0)).alias("mx"))
 
     def score(s, x, i):

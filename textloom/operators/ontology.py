@@ -6,9 +6,10 @@ relations(src, dst, kind); annotations(node_id, name). Pointers of an object gra
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 
@@ -40,11 +41,12 @@ def in_categories(nodes: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     return nodes.withColumn("category", T.tree_category(F.col("tree_numbers"))).where(F.arrays_overlap("category", F.array(*map(F.lit, wanted))))
 
 
-def normalize_nodes(nodes: DataFrame) -> DataFrame:
-    """Terms de-duplicated first and normalised then, so that equal ones may reappear; the definition's tokens keep digits."""
+def normalize_nodes(nodes: DataFrame, entities: Callable[[Column], Column] = T.adjacent_pairs) -> DataFrame:
+    """Terms de-duplicated first and normalised then, so that equal ones may reappear; the definition's tokens, digits kept, and entities."""
     terms = F.transform(F.array_distinct("terms"), T.normalize)
     tokens = T.drop_stopwords(F.filter(F.split(T.normalize(F.col("define")), " "), lambda t: t != ""))
-    return nodes.withColumn("terms", terms).withColumn("define_tokens", F.coalesce(tokens, F.array().cast("array<string>")))
+    rows = nodes.withColumn("terms", terms).withColumn("define_tokens", F.coalesce(tokens, F.array().cast("array<string>")))
+    return rows.withColumn("define_ners", entities(F.col("define_tokens")))
 
 
 def term_index(nodes: DataFrame, category: str | None = None) -> DataFrame:
@@ -53,14 +55,32 @@ def term_index(nodes: DataFrame, category: str | None = None) -> DataFrame:
     return rows.select(F.explode(F.array_distinct("terms")).alias("term"), "node_id").groupBy("term").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
 
 
+def xref_links(base: DataFrame, xrefs: DataFrame, strict: bool = False) -> DataFrame:
+    """(node_id, base_id) of the references xrefs(node_id, xref) that name a base node; see xref_merge."""
+    part = F.split("xref", ":")
+    links = xrefs.where(F.size(part) > 1).select("node_id", part[0 if strict else 1].alias("base_id"))
+    return links.join(base.select(F.col("node_id").alias("base_id")), "base_id", "left_semi").distinct().select("node_id", "base_id")
+
+
+def merged_edges(base_edges: DataFrame, other_edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(parent_id, child_id): the base's edges, those of merged nodes as their base nodes' own, and those between nodes that stay.
+
+    links(node_id, base_id) are those of xref_merge. A neighbour that was merged itself keeps its own id no longer, so an
+    edge to it counts for the base node it went to.
+    """
+    moved = lambda c: links.select(F.col("node_id").alias(c), F.col("base_id").alias(f"{c}_base"))
+    both = other_edges.join(moved("parent_id"), "parent_id", "left").join(moved("child_id"), "child_id", "left")
+    kept = both.select(F.coalesce("parent_id_base", "parent_id").alias("parent_id"), F.coalesce("child_id_base", "child_id").alias("child_id"))
+    return base_edges.select("parent_id", "child_id").unionByName(kept).where("parent_id <> child_id").distinct()
+
+
 def xref_merge(base: DataFrame, other: DataFrame, xrefs: DataFrame, strict: bool = False) -> DataFrame:
     """base nodes with the terms and definition tokens of the other nodes that xrefs(node_id, xref) lead to, then the rest of other.
 
     A reference PREFIX:ID names a base node by its ID; `strict` reads the two parts in the other order. Merged other nodes
     go; of the rest, ids that base has already lose.
     """
-    part = F.split("xref", ":")
-    links = xrefs.where(F.size(part) > 1).select("node_id", part[0 if strict else 1].alias("base_id")).join(base.select(F.col("node_id").alias("base_id")), "base_id", "left_semi").distinct()
+    links = xref_links(base, xrefs, strict)
     extra = links.join(other.select("node_id", "terms", "define_tokens"), "node_id").groupBy("base_id").agg(F.flatten(F.array_sort(F.collect_list("terms"))).alias("more_terms"), F.flatten(F.array_sort(F.collect_list("define_tokens"))).alias("more_tokens"), F.array_sort(F.collect_set("node_id")).alias("stem_from"))
     none = F.array().cast("array<string>")
     merged = base.join(extra, base.node_id == extra.base_id, "left").select(

@@ -68,6 +68,11 @@ def rouge(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     return rouge_n(pairs, 1, key).unionByName(rouge_n(pairs, 2, key)).unionByName(rouge_l(pairs, key))
 
 
+def similarity(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, scores) of pairs of texts: all metrics as one map, for use as a similarity."""
+    return nested(rouge(pairs, key), key)
+
+
 def macro_average(scores: DataFrame) -> DataFrame:
     return scores.groupBy("metric").agg(*(F.avg(c).alias(c) for c in ("p", "r", "f")))
 

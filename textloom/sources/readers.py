@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..operators.corpus import sentences
 from ..schema import RAW_QUESTION
 
 
@@ -78,6 +79,12 @@ def flatten(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
     return questions, answers.withColumn("ans_pos", T.position_key(F.col("answer_id")))
 
 
+def tables(nested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, answers and sentences of read_nested, each with its position."""
+    questions, answers = flatten(nested)
+    return questions, answers, sentences(answers.withColumnRenamed("ans_pos", "answer_pos"))
+
+
 def write_nested(rows: DataFrame, path: str) -> None:
     """One JSON line per question, in order of its id."""
     rows.orderBy("question_id").write.mode("overwrite").json(path)
@@ -149,6 +156,20 @@ def update_embeddings(spark: SparkSession, path: str, texts: DataFrame, embed: C
     return spark.read.parquet(path)
 
 
+def write_text_ids(store: DataFrame, path: str) -> None:
+    """(text, id) of a store's distinct texts; ids are unique and rise with the partitions, they needn't be consecutive."""
+    store.select("text").distinct().withColumn("id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+
+
+def read_gene_table(spark: SparkSession, path: str, columns: tuple[str, ...], gene: str, disease: str) -> DataFrame:
+    """(disease, gene) rows, once each, of a CSV whose preamble lines begin with #; columns name its fields.
+
+    Rows that repeat the fields' names, as below some preambles, are passed over.
+    """
+    rows = spark.read.csv(path, comment="#", escape='"', schema=", ".join(f"`{c}` string" for c in columns))
+    return rows.where((F.col(gene) != gene) & F.col(disease).isNotNull()).select(F.col(disease).alias("disease"), F.col(gene).alias("gene")).distinct()
+
+
 def with_embeddings(rows: DataFrame, store: DataFrame, size: int, text: str = "text") -> DataFrame:
     """rows with vec; zeros where the store has no vector."""
     zeros = F.array_repeat(F.lit(0.0), size)
