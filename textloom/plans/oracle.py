@@ -97,7 +97,7 @@ PARTS: dict[str, tuple[str, str]] = {
     "e_thr": ("sim", "SELECT question_id, a, b, 1.0::DOUBLE AS w FROM sim WHERE sim > 0.065::DOUBLE"),
     "e_sim": ("sim", "SELECT question_id, a, b, sim AS w FROM sim WHERE sim > 0"),
     "e_kw": ("ksim", "SELECT question_id, a, b, 1.0::DOUBLE AS w FROM ksim WHERE sim > 0.065::DOUBLE"),
-    "ratio": ("s kw", f"""SELECT {K}, coalesce(hit / (hit + missed), 0.0) AS raw FROM s LEFT JOIN (
+    "ratio": ("s kw dice", f"""SELECT {K}, coalesce(hit / (hit + missed), 0.0) AS raw FROM s LEFT JOIN (
       SELECT i.question_id, i.answer_id, i.sentence_id, sum(coalesce(w.weight, 0.0)) AS hit, sum(CASE WHEN coalesce(w.weight, 0.0) = 0 THEN 1.0 ELSE 0.0 END) AS missed FROM
       (SELECT {K}, unnest(list_concat(ners, list_distinct(list_filter(tokens, lambda t: NOT list_contains(ners, t))))) AS item FROM s) i LEFT JOIN dice w ON w.question_id = i.question_id AND w.item = i.item GROUP BY 1, 2, 3) USING ({K})"""),
     "items": ("s", "SELECT DISTINCT question_id, unnest(list_concat(ners, tokens)) AS item FROM s"),
@@ -133,15 +133,12 @@ for _mode in ("none", "weight", "ner"):
       ON t.question_id = m.question_id AND t.answer_id = m.answer_id AND t.sentence_id = m.sentence_id""")
     PARTS[f"tfidf_{_mode}"] = _scored(f"r_{_mode}", f"r_{_mode}")
 for _mode in ("thr", "sim", "kw"):
-    PARTS[f"reach_{_mode}"] = (f"e_{_mode}", f"""SELECT question_id, a AS x, b AS y FROM e_{_mode} UNION SELECT question_id, b, a FROM e_{_mode}
-      UNION SELECT r.question_id, r.x, e.b FROM reach_{_mode} r JOIN e_{_mode} e ON e.question_id = r.question_id AND e.a = r.y UNION SELECT r.question_id, r.x, e.a FROM reach_{_mode} r JOIN e_{_mode} e ON e.question_id = r.question_id AND e.b = r.y""")
     PARTS[f"reach_{_mode}"] = (f"e_{_mode}", f"""SELECT question_id, a AS x, b AS y FROM (SELECT question_id, a, b FROM e_{_mode} UNION ALL SELECT question_id, b, a FROM e_{_mode})
       UNION SELECT r.question_id, r.x, e.b FROM reach_{_mode} r JOIN (SELECT question_id, a, b FROM e_{_mode} UNION ALL SELECT question_id, b, a FROM e_{_mode}) e ON e.question_id = r.question_id AND e.a = r.y""")
-    PARTS[f"comp_{_mode}"] = (f"s reach_{_mode}", f"SELECT question_id, answer_id, sentence_id, answer_id * 100000 + sentence_id AS node, coalesce(least(m, answer_id * 100000 + sentence_id), answer_id * 100000 + sentence_id) AS component FROM s LEFT JOIN (SELECT question_id, x, min(y) AS m FROM reach_{_mode} GROUP BY 1, 2) r ON r.question_id = s.question_id AND r.x = answer_id * 100000 + sentence_id".replace("SELECT question_id, answer_id", "SELECT s.question_id AS question_id, answer_id", 1))
+    PARTS[f"comp_{_mode}"] = (f"s reach_{_mode}", f"SELECT s.question_id AS question_id, answer_id, sentence_id, answer_id * 100000 + sentence_id AS node, coalesce(least(m, answer_id * 100000 + sentence_id), answer_id * 100000 + sentence_id) AS component FROM s LEFT JOIN (SELECT question_id, x, min(y) AS m FROM reach_{_mode} GROUP BY 1, 2) r ON r.question_id = s.question_id AND r.x = answer_id * 100000 + sentence_id")
     PARTS[f"deg_{_mode}"] = (f"comp_{_mode}", f"SELECT c.*, 1 + coalesce(w, 0.0) AS w FROM comp_{_mode} c LEFT JOIN (SELECT question_id, n, sum(w) AS w FROM (SELECT question_id, a AS n, w FROM e_{_mode} UNION ALL SELECT question_id, b, w FROM e_{_mode}) GROUP BY 1, 2) d ON d.question_id = c.question_id AND d.n = c.node")
     PARTS[f"rank_{_mode}"] = (f"deg_{_mode}", f"SELECT {K}, component, count(*) OVER (PARTITION BY question_id, component) * w / sum(w) OVER (PARTITION BY question_id, component) AS raw FROM deg_{_mode}")
     PARTS[f"lex_{_mode}"] = _scored(f"rank_{_mode}", f"rank_{_mode}")
-PARTS["ratio"] = ("s kw dice", PARTS["ratio"][1])
 PARTS["keyword"] = _topped("ratio")
 PARTS["moved"] = _topped("mover")
 PARTS["fused"] = ("tfidf_weight lex_thr keyword moved query", f"""SELECT {K}, t.score AS tfidf, l.score AS lexrank, k.score AS keyword, m.score AS mover, u.score AS query, (4.0 * t.score + 2.0 * l.score + 2.0 * k.score + 3.0 * m.score + 3.0 * u.score) / 14.0 AS mix
@@ -153,7 +150,7 @@ for _kind, _k in (("num", "least(5, n)"), ("ratio", "floor(n * 0.3::DOUBLE)"), (
 PARTS["filled"] = ("top_num", f"""SELECT * FROM (SELECT *, last_value(CASE WHEN chosen THEN sentence_id END IGNORE NULLS) OVER (PARTITION BY {QA} ORDER BY sentence_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bef,
   first_value(CASE WHEN chosen THEN sentence_id END IGNORE NULLS) OVER (PARTITION BY {QA} ORDER BY sentence_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS aft FROM top_num) WHERE aft - bef <= 3 OR aft <= 3""")
 PARTS["merged"] = ("filled", "SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY answer_pos, sentence_id) AS INTEGER) AS merged_id FROM filled")
-PARTS["rp"] = ("q a", "SELECT q.question_id AS pair_id, question AS reference, article AS hypothesis FROM q JOIN a ON a.question_id = q.question_id AND answer_id = (SELECT min(answer_id) FROM a b WHERE b.question_id = q.question_id)")
+PARTS["rp"] = ("q a", "SELECT q.question_id * 100000 + answer_id AS pair_id, question AS reference, article AS hypothesis FROM q JOIN a ON a.question_id = q.question_id")
 _rt = lambda x: f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
 PARTS["rtok"] = ("rp", f"SELECT pair_id, {_rt('reference')} AS a, {_rt('hypothesis')} AS b FROM rp")
 _prf = "CASE WHEN nh > 0 THEN hits / nh ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN hits / nr ELSE 0.0 END AS r"
@@ -174,17 +171,17 @@ PARTS["pairs"] = ("cand", "SELECT x.label AS label, x.vec_id AS a, y.vec_id AS b
 PARTS["picks"] = ("pairs", """SELECT label, 0 AS step, CAST([] AS BIGINT[]) AS picked FROM vq UNION ALL
   SELECT label, step + 1, list_append(picked, best) FROM (SELECT label, step, picked, arg_max(vec_id, (score, -vec_id)) AS best FROM (
     SELECT p.label, p.step, p.picked, c.vec_id, CASE WHEN p.step = 0 THEN round(0.85::DOUBLE * any_value(c.q), 9) WHEN max(w.sim) >= 0.9::DOUBLE THEN 0.0 ELSE round(0.85::DOUBLE * any_value(c.q) - (1 - 0.85::DOUBLE) * max(w.sim), 9) END AS score
-    FROM picks p JOIN cand c ON c.label = p.label AND NOT list_contains(p.picked, c.vec_id) LEFT JOIN pairs w ON w.label = c.label AND w.a = c.vec_id AND list_contains(p.picked, w.b) WHERE p.step < 25 GROUP BY ALL) GROUP BY ALL)""")
-PARTS["picks"] = ("pairs", PARTS["picks"][1].replace("GROUP BY ALL) GROUP BY ALL)", "GROUP BY p.label, p.step, p.picked, c.vec_id) GROUP BY label, step, picked)"))
+    FROM picks p JOIN cand c ON c.label = p.label AND NOT list_contains(p.picked, c.vec_id) LEFT JOIN pairs w ON w.label = c.label AND w.a = c.vec_id AND list_contains(p.picked, w.b) WHERE p.step < 25 GROUP BY p.label, p.step, p.picked, c.vec_id) GROUP BY label, step, picked)""")
 PARTS["dedupe"] = ("pairs", """SELECT label, 0::BIGINT AS n, CAST([] AS BIGINT[]) AS kept FROM vq UNION ALL
   SELECT d.label, d.n + 1, CASE WHEN EXISTS (SELECT 1 FROM pairs w WHERE w.label = d.label AND w.a = o.vec_id AND list_contains(d.kept, w.b) AND w.sim >= 0.9::DOUBLE) THEN d.kept ELSE list_append(d.kept, o.vec_id) END
   FROM dedupe d JOIN (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM cand) o ON o.label = d.label AND o.rn = d.n + 1""")
 PARTS["node"] = ("", "SELECT 'R' || r_regionkey AS node_id, [lower(r_name)] AS terms FROM region UNION ALL SELECT 'N' || n_nationkey, [lower(n_name), lower(n_name) || ' disease'] FROM nation UNION ALL SELECT 'S' || s_suppkey, [lower(s_name)] FROM supplier")
 PARTS["edge"] = ("", "SELECT 'R' || n_regionkey AS parent_id, 'N' || n_nationkey AS child_id FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier")
-PARTS["words"] = ("", "")
 _both = "(SELECT a, b FROM links UNION ALL SELECT b, a FROM links)"
 for _name, _rows, _cols in (("words", X.WORDS, "word, synset"), ("members", X.MEMBERS, "synset, token"), ("links", X.LINKS, "a, b"), ("antonyms", X.ANTONYMS, "token, antonym"), ("given", X.NOUNS, "question_id, token"), ("tree", X.TREE, "node_id, tree_number"), ("chem", X.CHEMICALS, "chemical_id, disease_ref, score"), ("xref", X.XREFS, "xref, node_id"), ("lines", [(x,) for x in X.DELIMITED], "value")):
     PARTS[_name] = ("", f"SELECT * FROM (VALUES {X.values(_rows, 'x').split('VALUES ', 1)[1][:-1]}) AS t({_cols})")
+PARTS["treated"] = ("chem xref", """SELECT chemical_id AS a, split_part(disease_ref, ':', 2) AS b FROM chem WHERE split_part(disease_ref, ':', 1) = 'MESH'
+  UNION ALL SELECT chemical_id, node_id FROM chem JOIN xref ON xref = disease_ref WHERE split_part(disease_ref, ':', 1) <> 'MESH'""")
 PARTS["syn"] = ("words links", f"""SELECT word AS seed, synset AS node, 4.0::DOUBLE AS weight FROM words UNION ALL
   SELECT seed, e.b, weight * 0.8::DOUBLE / d.n FROM syn JOIN {_both} e ON e.a = syn.node JOIN (SELECT a, count(*) AS n FROM {_both} GROUP BY a) d ON d.a = syn.node WHERE weight * 0.8::DOUBLE / d.n >= 1""")
 PARTS["synbest"] = ("syn", "SELECT seed, node, max(weight) AS weight FROM syn GROUP BY seed, node")

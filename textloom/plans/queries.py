@@ -98,10 +98,9 @@ def question_keywords(spark, sf_dir):
     return corpus.keywords(_tagged(spark, sf_dir)).withColumn("kw_pos", F.col("kw_pos").cast("int"))
 
 
-@_register("SELECT event_id, CASE WHEN event_type LIKE '%disease%' THEN event_type ELSE regexp_replace('see [1] ' || event_type || ' [x y] end', '\\[.*?\\]', '', 'g') END AS stripped, regexp_matches(props, 'http\\S+|www.\\S+') AS has_url FROM events")
+@_register("SELECT page_id, regexp_replace(html, '\\[.*?\\]', '', 'g') AS stripped, regexp_matches(html, 'http\\S+|www.\\S+') AS has_url FROM pages")
 def url_and_bracket_filters(spark, sf_dir):
-    text = F.concat(F.lit("see [1] "), F.col("event_type"), F.lit(" [x y] end"))
-    return _t(spark, sf_dir, "events").select("event_id", T.strip_brackets(text).alias("stripped"), T.has_url(F.col("props")).alias("has_url"))
+    return _t(spark, sf_dir, "pages").select("page_id", T.strip_brackets(F.col("html")).alias("stripped"), T.has_url(F.col("html")).alias("has_url"))
 
 
 @_register("SELECT p_partkey, trim(regexp_replace(replace(p_name || ' disease x', 'disease', ''), '\\s+', ' ', 'g')) AS stripped, split_part('http://x/' || replace(p_brand, '#', '_') , '/', 4) AS last_part FROM part")
@@ -384,10 +383,10 @@ def full_summary(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    """Each question with its first answer."""
+    """Each question with each of its answers."""
     c = _t(spark, sf_dir, "conversations")
-    first = corpus.answers(c).groupBy("question_id").agg(F.min_by("article", "answer_id").alias("hypothesis"))
-    return corpus.questions(c).join(first, "question_id").select(F.col("question_id").alias("pair_id"), F.col("question").alias("reference"), "hypothesis")
+    pair = (F.col("question_id") * 100000 + F.col("answer_id")).alias("pair_id")
+    return corpus.questions(c).join(corpus.answers(c), "question_id").select(pair, F.col("question").alias("reference"), F.col("article").alias("hypothesis"))
 
 
 @_register(query(f"SELECT pair_id, metric, {_rs('p', 'r', 'f')} FROM rouge1", "rouge1"))
@@ -460,15 +459,7 @@ def category_filter(spark, sf_dir):
     return ontology.in_categories(nodes, ("S", "E")).select("p_partkey", F.col("category")[0].alias("category"))
 
 
-@_register(
-    query(
-        """SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e)""", "chem xref"
-    ).replace(
-        "\nSELECT DISTINCT src",
-        """,\ne AS (SELECT chemical_id AS a, split_part(disease_ref, ':', 2) AS b FROM chem WHERE split_part(disease_ref, ':', 1) = 'MESH'
-  UNION ALL SELECT chemical_id, node_id FROM chem JOIN xref ON xref = disease_ref WHERE split_part(disease_ref, ':', 1) <> 'MESH')\nSELECT DISTINCT src""",
-    )
-)
+@_register(query("SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FROM treated UNION ALL SELECT b, a FROM treated)", "treated"))
 def relation_symmetric(spark, sf_dir):
     rows = X.frame(spark, X.CHEMICALS, "chemical_id string, disease_ref string, score double")
     return ontology.symmetric_relations(rows, X.frame(spark, X.XREFS, "xref string, node_id string")).select("src", "dst")
