@@ -386,8 +386,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     the first 32 * slices are cut into slices. Two nodes are candidates if a slice differs in at most 2 bits (ball hashing
     within each slice) and all bits together differ by no more than the similarity allows: a Jaccard similarity j is a
     cosine of 2j/(1+j) or more, and the share of differing bits is its angle over pi; three standard deviations of that
-    estimate are added. Every two members of a slice value or variant meet within a task unless links join them already;
-    large groups are dealt to blocks, and each two blocks meet. The texts of nodes that candidates join meet in the same
+    estimate are added. Every two members of a slice value, and then of a variant whose members aren't all joined by then,
+    meet within a task unless links join them already; large groups are dealt to blocks, and each two blocks meet. The texts of nodes that candidates join meet in the same
     way, once for each component of candidates, and are linked by the exact Jaccard similarity of their sets.
 
     Null and wordless texts have the empty set and are one node; rows that repeat a row_id get the same component; null
@@ -403,15 +403,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     parts = [F.expr(f"shiftleft({n}L, 32) | (shiftright(fp[{n // 2}], {32 * (n % 2)}) & 4294967295L)") for n in range(slices)]
     sliced = whole.select("node", F.explode(F.array(*parts)).alias("key"))
     counted = materialize(spark, sliced.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "slice-values")
-    near = ball_groups(counted.select("key"), 32).select(F.col("variant").alias("group"), F.explode("all").alias("key"))
-    same = counted.where("n > 1").select(F.expr("key | shiftleft(1L, 60)").alias("group"), "key")
-    groups = materialize(spark, near.unionByName(same), "slice-groups")
-    meet = if_small(groups)
-    sizes = materialize(spark, counted.join(meet, "key").groupBy("group").agg(F.sum("n").alias("size")), "group-sizes")
-    members = materialize(spark, in_blocks(sliced.join(meet, "key").select("group", "node"), sizes), "group-members")
-    candidates = links_within(members.join(whole.select("node", "fp"), "node"), "fp", within_bits(most)).distinct()
+    fps = whole.select("node", "fp")
+
+    def links(groups: DataFrame, name: str) -> DataFrame:
+        """Written candidate links of groups(group, key): all members of the keys of a group meet."""
+        meet = if_small(groups)
+        sizes = materialize(spark, counted.join(meet, "key").groupBy("group").agg(F.sum("n").alias("size")), "group-sizes")
+        members = materialize(spark, in_blocks(sliced.join(meet, "key").select("group", "node"), sizes), "group-members")
+        found = materialize(spark, links_within(members.join(fps, "node"), "fp", within_bits(most)).distinct(), name)
+        discard(spark, sizes, members)
+        return found
+
+    # nodes that share a slice value first: most members of a large family are joined by these already
+    same = links(counted.where("n > 1").select(F.col("key").alias("group"), "key"), "same-links")
+    joined = materialize(spark, connected_components(spark, same, "same-candidates"), "same-groups")
+    of_key = sliced.join(joined, "node", "left").select("key", F.coalesce("root", "node").alias("root")).groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    of_key = materialize(spark, of_key, "slice-roots")
+    near = materialize(spark, ball_groups(counted.select("key"), 32).select(F.col("variant").alias("group"), F.explode("all").alias("key")), "slice-groups")
+    # a group in which all are joined has no more to find, so a family doesn't come back under every variant of its values;
+    # any two values meet under just two variants, so a group of two is needed once, and not beside a larger group of both
+    told = near.join(of_key, "key").groupBy("group").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("keys"), F.bit_xor("key").alias("both"))
+    told = materialize(spark, told.select("group", "keys", F.col("group").bitwiseXOR(F.col("both")).alias("other"), (F.col("least") != F.col("most")).alias("open")), "variants")
+    sizes = told.select(F.col("group").alias("other"), F.col("keys").alias("other_keys"))
+    large, two = told.where("open AND keys > 2").select("group"), told.where("open AND keys = 2").join(sizes, "other").where("other_keys = 2 AND group < other").select("group")
+    groups = materialize(spark, near.join(large.unionByName(two), "group", "left_semi"), "open-groups")
+    candidates = same.unionByName(links(groups, "near-links"))
     joined = materialize(spark, connected_components(spark, candidates, "candidates").select("node", F.col("root").alias("group")), "candidate-groups")
-    discard(spark, counted, groups, sizes, members)
+    discard(spark, counted, of_key, near, told, groups)
     joined = joined.join(whole.select("node", "row", "n"), "node")
     weights = joined.groupBy("group").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / SHINGLES)).alias("size"))
     dealt = materialize(spark, in_blocks(joined, weights).select("group", "pair", "node", "row"), "candidate-rows")
