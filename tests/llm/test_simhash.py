@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -156,18 +157,26 @@ def test_sets_of_shingles(texts, block):
         assert block == 8 or max(map(len, w), default=0) >= block or np.array_equal(own, again)
 
 
-def test_links_within_blocks(spark, monkeypatch):
-    """Groups over MEMBERS, dealt to blocks, have the components of all pairs."""
+@pytest.mark.parametrize("family", [0, 200, 291])
+def test_group_links_in_blocks(spark, monkeypatch, family):
+    """Groups over MEMBERS, dealt to blocks, have the components of all pairs, and a large family isn't multiplied."""
     import random
 
     rnd = random.Random(5)
-    values = [rnd.getrandbits(10) for _ in range(300)]
-    rows = spark.createDataFrame([(g, i, [v]) for g in (1, 2) for i, v in enumerate(values) if g == 1 or i < 9], "group long, node long, fp array<long>")
+    values = [1 << (i % 16) if i % 3 else 0 for i in range(family)]
+    while len(values) < 300:
+        values.append(values[-1] ^ 1 << rnd.randrange(16) if len(values) % 3 == 2 else rnd.getrandbits(16))
+    rnd.shuffle(values)
+    rows = spark.createDataFrame([(g, i, 1 + i % 2, [v]) for g in (1, 2) for i, v in enumerate(values) if g == 1 or i < 9], "group long, node long, weight long, fp array<long>")
     monkeypatch.setattr(simhash, "MEMBERS", 20)
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    found = [(r.u, r.v) for r in simhash.links_within(simhash.in_blocks(rows, sizes), "fp", simhash.within_bits(1)).collect()]
+    monkeypatch.setattr(simhash, "PIVOTS", 4)
+    sizes, met = rows.groupBy("group").agg(F.sum("weight").alias("size")), []
+    attach = lambda x: met.append(x.count()) or x
+    found = [(r.u, r.v) for r in simhash.group_links(spark, rows, sizes, attach, "fp", simhash.within_bits(1), "test-links").collect()]
     close = [(a, b) for a in range(300) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 1]
     assert cases.union_find(found, range(300)) == cases.union_find(close, range(300))
+    assert met[0] < 309 + 23 * 12  # a few members are in all of 23 blocks
+    assert family < 291 or sum(met[1:]) <= 2 * 291 + 9 * 46  # its members twice, for two blocks of the others
 
 
 def test_near_duplicates_by_exact_similarity(spark):

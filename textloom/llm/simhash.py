@@ -21,8 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 1 << 13
 #: Bytes whose words are hashed in one sum, and distinct shingles that count as one member where texts are dealt to blocks.
 TEXT, SHINGLES = 1 << 16, 1 << 12
-#: Members of a group that are compared in one task; those of a larger group are dealt to blocks, and each two blocks meet.
-MEMBERS = 2048
+#: Members of a group that are compared in one task, and those (on average) that are in all blocks of a larger group.
+MEMBERS, PIVOTS = 2048, 16
 
 
 def mixed(h):
@@ -234,16 +234,52 @@ def ball_links(keys: DataFrame, bits: int = 64) -> DataFrame:
     return stars.where("u <> v").where(hamming(F.col("u"), F.col("v")) <= 2).select("u", "v").distinct()
 
 
-def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows(group, node, ..) with the column pair, by which a group of more than MEMBERS members, in sizes(group, size), is dealt.
+def first_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows(group, node, ..) with the column pair: 0, or one block of a group of more than MEMBERS in sizes(group, size).
 
-    Its members are dealt to blocks of half as many, and each two blocks are one pair: any two members meet in some pair.
+    A few members of such a group, told by their hash, are in all of its blocks, so a family is joined across blocks by as
+    many rows as members.
     """
-    large = if_small(sizes.where(F.col("size") > MEMBERS).select("group", F.ceil(F.col("size") / (MEMBERS // 2)).cast("int").alias("blocks")))
-    own = F.expr("pmod(xxhash64(node, 1), blocks)")
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != own), lambda o: (F.least(o, own) * F.col("blocks") + F.greatest(o, own)).cast("long"))
-    dealt = rows.join(large, "group", "left").withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
-    return dealt.drop("blocks")
+    large = if_small(sizes.where(F.col("size") > MEMBERS).select("group", F.ceil(F.col("size") / MEMBERS).alias("blocks"), F.ceil(F.col("size") / PIVOTS).alias("every")))
+    zero = F.lit(0).cast("long")
+    everywhere = F.expr("pmod(xxhash64(node, 2), every)") == 0
+    blocks = F.when(F.col("blocks").isNull(), F.array(zero)).when(everywhere, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(F.expr("pmod(xxhash64(node, 1), blocks)")))
+    return rows.join(large, "group", "left").withColumn("pair", F.explode(blocks)).drop("blocks", "every")
+
+
+def later_blocks(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows(group, node, weight, ..) with the column pair, for groups whose members aren't all joined by roots(node, root).
+
+    Members of the largest component, in blocks, meet those of all others, in blocks of their own, which meet each other as
+    well: any two members not joined meet in some pair. What is outside the largest component is all that is multiplied.
+    """
+    half = MEMBERS // 2
+    known = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = known.groupBy("group", "root").agg(F.sum("weight").alias("size"))
+    told = per.groupBy("group").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    told = told.select("group", F.col("main.root").alias("top"), F.ceil(F.col("main.size") / half).alias("mains"), F.ceil((F.col("total") - F.col("main.size")) / half).alias("rest"))
+    own = known.join(told, "group").withColumn("block", F.expr("if(root = top, pmod(xxhash64(node, 1), mains), mains + pmod(xxhash64(node, 1), rest))"))
+    met = F.expr("if(root = top, sequence(mains, mains + rest - 1), filter(sequence(0L, mains + rest - 1), o -> o != block))")
+    pairs = F.transform(met, lambda o: F.least(o, F.col("block")) * (F.col("mains") + F.col("rest")) + F.greatest(o, F.col("block")))
+    return own.withColumn("pair", F.explode(pairs)).drop("root", "top", "mains", "rest", "block")
+
+
+def group_links(spark: SparkSession, rows: DataFrame, sizes: DataFrame, attach, column: str, linked, name: str) -> DataFrame:
+    """Written links (u, v), with the components of all links within the groups of rows(group, node, weight, ..).
+
+    sizes(group, size) has the sums of weights; attach adds the column that linked compares (see links_within). Groups of
+    more than MEMBERS meet in blocks first, and those not joined by then as far as their members are apart.
+    """
+    first = materialize(spark, first_blocks(rows, sizes), "group-members")
+    links = materialize(spark, links_within(attach(first), column, linked).distinct(), name)
+    large = sizes.where(F.col("size") > MEMBERS).select("group")
+    if large.limit(1).count():
+        roots = materialize(spark, connected_components(spark, links, f"{name}-joined"), f"{name}-roots")
+        later = materialize(spark, later_blocks(rows.join(if_small(large), "group", "left_semi"), roots), "apart-members")
+        links = materialize(spark, links.unionByName(links_within(attach(later), column, linked)).distinct(), name)
+        discard(spark, roots, later)
+    discard(spark, first)
+    return links
 
 
 def links_within(rows: DataFrame, column: str, linked) -> DataFrame:
@@ -387,8 +423,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
     within each slice) and all bits together differ by no more than the similarity allows: a Jaccard similarity j is a
     cosine of 2j/(1+j) or more, and the share of differing bits is its angle over pi; three standard deviations of that
     estimate are added. Every two members of a slice value, and then of a variant whose members aren't all joined by then,
-    meet within a task unless links join them already; large groups are dealt to blocks, and each two blocks meet. The texts of nodes that candidates join meet in the same
-    way, once for each component of candidates, and are linked by the exact Jaccard similarity of their sets.
+    meet within a task unless links join them already (group_links). The texts of nodes that candidates join meet in the
+    same way, once for each component of candidates, and are linked by the exact Jaccard similarity of their sets.
 
     Null and wordless texts have the empty set and are one node; rows that repeat a row_id get the same component; null
     ids are passed over as the smallest unless a component has no others; an empty table gives an empty one.
@@ -409,34 +445,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
         """Written candidate links of groups(group, key): all members of the keys of a group meet."""
         meet = if_small(groups)
         sizes = materialize(spark, counted.join(meet, "key").groupBy("group").agg(F.sum("n").alias("size")), "group-sizes")
-        members = materialize(spark, in_blocks(sliced.join(meet, "key").select("group", "node"), sizes), "group-members")
-        found = materialize(spark, links_within(members.join(fps, "node"), "fp", within_bits(most)).distinct(), name)
-        discard(spark, sizes, members)
+        members = sliced.join(meet, "key").select("group", "node", F.lit(1).cast("long").alias("weight"))
+        found = group_links(spark, members, sizes, lambda rows: rows.join(fps, "node"), "fp", within_bits(most), name)
+        discard(spark, sizes)
         return found
 
-    # nodes that share a slice value first: most members of a large family are joined by these already
-    same = links(counted.where("n > 1").select(F.col("key").alias("group"), "key"), "same-links")
-    joined = materialize(spark, connected_components(spark, same, "same-candidates"), "same-groups")
-    of_key = sliced.join(joined, "node", "left").select("key", F.coalesce("root", "node").alias("root")).groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    of_key = materialize(spark, of_key, "slice-roots")
+    def roots_of(joined: DataFrame, slices: list[Column]) -> DataFrame:
+        """(key, root, apart): of each value of the slices, the hash of a root of its nodes, and whether they have several."""
+        own = whole.select("node", "fp").join(joined, "node", "left").select(F.xxhash64(F.coalesce("root", "node")).alias("root"), F.explode(F.array(*slices)).alias("key"))
+        return own.groupBy("key").agg(F.min("root").alias("root"), F.max("root").alias("most")).select("key", "root", (F.col("root") != F.col("most")).alias("apart"))
+
+    # nodes that share a slice value first, then those under one variant: by the leading slices, and by the others where
+    # a variant's members aren't joined by then, so a family doesn't come back under every variant of all its values
+    candidates = links(counted.where("n > 1").select(F.col("key").alias("group"), "key"), "same-links")
     near = materialize(spark, ball_groups(counted.select("key"), 32).select(F.col("variant").alias("group"), F.explode("all").alias("key")), "slice-groups")
-    # a group in which all are joined has no more to find, so a family doesn't come back under every variant of its values;
-    # any two values meet under just two variants, so a group of two is needed once, and not beside a larger group of both
-    told = near.join(of_key, "key").groupBy("group").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("keys"), F.bit_xor("key").alias("both"))
-    told = materialize(spark, told.select("group", "keys", F.col("group").bitwiseXOR(F.col("both")).alias("other"), (F.col("least") != F.col("most")).alias("open")), "variants")
-    sizes = told.select(F.col("group").alias("other"), F.col("keys").alias("other_keys"))
-    large, two = told.where("open AND keys > 2").select("group"), told.where("open AND keys = 2").join(sizes, "other").where("other_keys = 2 AND group < other").select("group")
-    groups = materialize(spark, near.join(large.unionByName(two), "group", "left_semi"), "open-groups")
-    candidates = same.unionByName(links(groups, "near-links"))
+    lead = max(1, slices // 4)
+    for start, end in ((0, lead), (lead, slices)):
+        if start == end:
+            continue
+        joined = materialize(spark, connected_components(spark, candidates, "candidates"), "joined")
+        of_key = materialize(spark, roots_of(joined, parts[start:end]), "slice-roots")
+        # any two values meet under just two variants, so a group of two is needed once, and not beside a larger group of both
+        told = near.join(of_key, "key").groupBy("group").agg((F.bool_or("apart") | (F.min("root") != F.max("root"))).alias("open"), F.count(F.lit(1)).alias("keys"), F.bit_xor("key").alias("both"))
+        told = materialize(spark, told.select("group", "keys", F.col("group").bitwiseXOR(F.col("both")).alias("other"), "open"), "variants")
+        sizes = told.select(F.col("group").alias("other"), F.col("keys").alias("other_keys"))
+        large, two = told.where("open AND keys > 2").select("group"), told.where("open AND keys = 2").join(sizes, "other").where("other_keys = 2 AND group < other").select("group")
+        groups = materialize(spark, near.join(large.unionByName(two), "group", "left_semi"), "open-groups")
+        # stars stand for the links found so far, so components aren't found again from all of them
+        candidates = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links(groups, "near-links"))
+        discard(spark, of_key, told, groups)
     joined = materialize(spark, connected_components(spark, candidates, "candidates").select("node", F.col("root").alias("group")), "candidate-groups")
-    discard(spark, counted, of_key, near, told, groups)
+    discard(spark, counted, near)
     joined = joined.join(whole.select("node", "row", "n"), "node")
-    weights = joined.groupBy("group").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / SHINGLES)).alias("size"))
-    dealt = materialize(spark, in_blocks(joined, weights).select("group", "pair", "node", "row"), "candidate-rows")
-    texts = docs.select("row_id", "text").join(if_small(dealt.select("row").distinct()), F.col("row_id").eqNullSafe(F.col("row"))).groupBy("row").agg(F.first("text").alias("text"))
-    compared = dealt.join(texts, dealt.row.eqNullSafe(texts.row)).select("group", "pair", "node", "text")
-    roots = connected_components(spark, links_within(compared, "text", of_shingles(similarity, shingle)).distinct(), "near-components")
-    discard(spark, dealt)
+    rows = materialize(spark, joined.select("group", "node", "row", F.greatest(F.lit(1), F.ceil(F.col("n") / SHINGLES)).cast("long").alias("weight")), "candidate-rows")
+    sizes = materialize(spark, rows.groupBy("group").agg(F.sum("weight").alias("size")), "candidate-sizes")
+    texts = docs.select("row_id", "text").join(if_small(rows.select("row").distinct()), F.col("row_id").eqNullSafe(F.col("row"))).groupBy("row").agg(F.first("text").alias("text"))
+    with_text = lambda met: met.join(texts, met.row.eqNullSafe(texts.row)).select("group", "pair", "node", "text")
+    roots = connected_components(spark, group_links(spark, rows, sizes, with_text, "text", of_shingles(similarity, shingle), "text-links"), "near-components")
+    discard(spark, rows, sizes)
     linked = whole.select("node", "row").join(roots, "node")
     tops = linked.groupBy("root").agg(F.min("row").alias("top"))
     of_node = linked.join(tops, "root").select("node", "top")
