@@ -179,6 +179,49 @@ def test_group_links_in_blocks(spark, monkeypatch, family):
     assert family < 291 or sum(met[1:]) <= 2 * 291 + 9 * 46  # its members twice, for two blocks of the others
 
 
+def test_groups_of_one_label_are_left_out(spark):
+    """Of values near a variant, those that all have one label don't meet; any other group stays whole."""
+    import random
+
+    rnd = random.Random(7)
+    values = {}
+    for _ in range(40):
+        x, label = rnd.getrandbits(32), rnd.choice([0, 1, 2, 32767])
+        for _ in range(5):
+            values[(3 << 32) | x ^ (1 << rnd.randrange(32)) ^ (1 << rnd.randrange(32))] = label if rnd.random() < 0.8 else rnd.choice([0, 1, 2])
+    near = defaultdict(set)
+    for v in values:
+        for x in (v, *(v ^ 1 << i for i in range(32))):
+            near[x].add(v)
+    want = {x: own for x, own in near.items() if len(own) > 1 and (len({values[v] for v in own}) > 1 or values[min(own)] == 0)}
+    got = simhash.ball_groups(spark.createDataFrame(list(values.items()), "key long, label long"), 32).collect()
+    assert {r.variant: set(r["all"]) for r in got} == want and len(want) < sum(len(own) > 1 for own in near.values())
+
+
+@pytest.mark.parametrize("most", [0, 1, 1 << 14])
+def test_a_joined_family_does_not_come_back(spark, monkeypatch, most):
+    """Near copies that equal slices join aren't written again under the variants of their slices; without labels the result is the same."""
+    import random
+
+    rnd, base, rows = random.Random(2), [f"b{k}" for k in range(200)], []
+    for i in range(300):
+        w, at = list(base), rnd.randrange(200)
+        w[at] = f"c{i}"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(f"o{i}x{k}" for k in range(60)))]
+    kept, written = simhash.materialize, defaultdict(int)
+
+    def spy(spark, df, name, *a):
+        out = kept(spark, df, name, *a)
+        written[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", spy)
+    monkeypatch.setattr(simhash, "LABELS", most)
+    got = simhash.near_duplicates(spark, spark.createDataFrame(rows, "row_id long, text string"))
+    assert {r.row_id: r.component for r in got.collect()} == {i: 0 if i < 1000 else i for i, _ in rows}
+    assert most == 0 or written["slice-groups"] < 600
+
+
 def test_near_duplicates_by_exact_similarity(spark):
     """A passage repeated within the text counts once; no pair under 0.8 is linked, whatever the bits say."""
     passage, own = [f"p{k}" for k in range(100)], lambda i: [f"o{i}x{k}" for k in range(500)]

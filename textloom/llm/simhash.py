@@ -23,6 +23,8 @@ BLOCK = 1 << 13
 TEXT, SHINGLES = 1 << 16, 1 << 12
 #: Members of a group that are compared in one task, and those (on average) that are in all blocks of a larger group.
 MEMBERS, PIVOTS = 2048, 16
+#: Bits of the numbers of components, twice which fit beside a mask of 32 bits, and the largest components that get one.
+LABEL_BITS, LABELS = 15, 1 << 14
 
 
 def mixed(h):
@@ -206,18 +208,27 @@ def ball_groups(keys: DataFrame, bits: int = 64) -> DataFrame:
     """(variant, all): the distinct values of keys(key) that differ in at most 1 of their low bits from a variant, if several.
 
     Each value emits all variants within half the radius (bits + 1 rows of fixed width). Any two values within distance 2
-    share a group, any two of a group are within distance 2, and a group has at most bits + 1 values.
+    share a group, any two of a group are within distance 2, and a group has at most bits + 1 values. With a column label
+    (see labels; bits up to 32, whose masks leave room for it) groups of which all values have one label are left out.
     """
+    label = ["label"] if "label" in keys.columns else []
     # small rows that become many; dealt by other than the bare key, or the exchange would be merged with the one before
     spread = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("key", F.lit(1)))
-    emitted = spread.select("key", F.explode(F.array(*[F.lit(i) for i in range(-1, bits)])).alias("pos"))
+    emitted = spread.select("key", *label, F.explode(F.array(*[F.lit(i) for i in range(-1, bits)])).alias("pos"))
     flip = F.expr("if(pos < 0, 0L, shiftleft(1L, pos))")
+    told = flip
+    if label:  # which bits of a label are set in a value's, and which aren't: values of one label never do both
+        all_bits = (1 << LABEL_BITS) - 1
+        sides = F.when(F.col("label") == 0, F.lit((1 << 2 * LABEL_BITS) - 1).cast("long")).otherwise(F.col("label").bitwiseOR(F.shiftleft(F.lit(all_bits).cast("long").bitwiseXOR(F.col("label")), LABEL_BITS)))
+        told = flip.bitwiseOR(F.shiftleft(sides, 32))
     groups = (
-        emitted.select(F.col("key").bitwiseXOR(flip).alias("variant"), flip.alias("flip"))
+        emitted.select(F.col("key").bitwiseXOR(flip).alias("variant"), flip.alias("flip"), told.alias("told"))
         .groupBy("variant")
-        .agg(F.bit_or("flip").alias("mask"), F.max(F.when(F.col("flip") == 0, 1).otherwise(0)).alias("own"))
-        .where("bit_count(mask) + own > 1")
+        .agg(F.bit_or("told").alias("mask"), F.max(F.when(F.col("flip") == 0, 1).otherwise(0)).alias("own"))
     )
+    if label:
+        groups = groups.where(f"(shiftright(mask, 32) & shiftright(mask, {32 + LABEL_BITS}) & {all_bits}L) != 0").withColumn("mask", F.expr(f"mask & {(1 << bits) - 1}L"))
+    groups = groups.where("bit_count(mask) + own > 1")
     members = F.expr(
         f"concat(if(own = 1, array(variant), cast(array() as array<bigint>)), "
         f"transform(filter(sequence(0, {bits - 1}), i -> shiftright(mask, i) & 1L = 1L), i -> variant ^ shiftleft(1L, i)))"
@@ -225,6 +236,24 @@ def ball_groups(keys: DataFrame, bits: int = 64) -> DataFrame:
     return groups.select("variant", members.alias("all"))
 
 
+def between(links: DataFrame, joined: DataFrame) -> DataFrame:
+    """links(u, v) moved to the roots of joined(node, root), without those whose ends are joined by then."""
+    joined = if_small(joined)
+    for end in ("u", "v"):
+        links = links.join(joined.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    return links.where("u <> v").select("u", "v").distinct()
+
+
+def labels(joined: DataFrame, most: int) -> DataFrame:
+    """(node, label): a number from 1 on for the nodes of each of the `most` largest components of joined(node, root).
+
+    All other nodes have none: a label tells that nodes are joined, its absence tells nothing.
+    """
+    largest = joined.groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "root").limit(most)
+    numbers = largest.agg(F.collect_list("root").alias("all")).select(F.posexplode("all").alias("at", "root"))
+    return joined.join(F.broadcast(numbers), "root").select("node", (F.col("at") + 1).cast("long").alias("label"))  # at most `most` rows
+
+
 def ball_links(keys: DataFrame, bits: int = 64) -> DataFrame:
     """(u, v): links between distinct values of keys(key) that differ in 1 or 2 of their low bits.
 
@@ -450,32 +479,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, simi
         discard(spark, sizes)
         return found
 
-    def roots_of(joined: DataFrame, slices: list[Column]) -> DataFrame:
-        """(key, root, apart): of each value of the slices, the hash of a root of its nodes, and whether they have several."""
-        own = whole.select("node", "fp").join(joined, "node", "left").select(F.xxhash64(F.coalesce("root", "node")).alias("root"), F.explode(F.array(*slices)).alias("key"))
-        return own.groupBy("key").agg(F.min("root").alias("root"), F.max("root").alias("most")).select("key", "root", (F.col("root") != F.col("most")).alias("apart"))
+    def labelled(joined: DataFrame, slices: list[Column]) -> DataFrame:
+        """(key, label): of each value of the slices, the label that all of its nodes have, else 0."""
+        own = whole.select("node", "fp").join(labels(joined, LABELS), "node", "left").select(F.coalesce("label", F.lit(0).cast("long")).alias("label"), F.explode(F.array(*slices)).alias("key"))
+        return own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).select("key", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.lit(0).cast("long")).alias("label"))
 
     # nodes that share a slice value first, then those under one variant: by the leading slices, and by the others where
-    # a variant's members aren't joined by then, so a family doesn't come back under every variant of all its values
+    # a variant's members aren't joined by then. The variants are told so while they are grouped, so what a family has
+    # joined is never written. Components without a label come back under their variants, which adds no link.
     candidates = links(counted.where("n > 1").select(F.col("key").alias("group"), "key"), "same-links")
-    near = materialize(spark, ball_groups(counted.select("key"), 32).select(F.col("variant").alias("group"), F.explode("all").alias("key")), "slice-groups")
     lead = max(1, slices // 4)
     for start, end in ((0, lead), (lead, slices)):
         if start == end:
             continue
         joined = materialize(spark, connected_components(spark, candidates, "candidates"), "joined")
-        of_key = materialize(spark, roots_of(joined, parts[start:end]), "slice-roots")
+        of_key = materialize(spark, labelled(joined, parts[start:end]), "slice-labels")
+        near = materialize(spark, ball_groups(of_key, 32).select(F.col("variant").alias("group"), "all"), "slice-groups")
         # any two values meet under just two variants, so a group of two is needed once, and not beside a larger group of both
-        told = near.join(of_key, "key").groupBy("group").agg((F.bool_or("apart") | (F.min("root") != F.max("root"))).alias("open"), F.count(F.lit(1)).alias("keys"), F.bit_xor("key").alias("both"))
-        told = materialize(spark, told.select("group", "keys", F.col("group").bitwiseXOR(F.col("both")).alias("other"), "open"), "variants")
-        sizes = told.select(F.col("group").alias("other"), F.col("keys").alias("other_keys"))
-        large, two = told.where("open AND keys > 2").select("group"), told.where("open AND keys = 2").join(sizes, "other").where("other_keys = 2 AND group < other").select("group")
-        groups = materialize(spark, near.join(large.unionByName(two), "group", "left_semi"), "open-groups")
-        # stars stand for the links found so far, so components aren't found again from all of them
-        candidates = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links(groups, "near-links"))
-        discard(spark, of_key, told, groups)
+        both = F.col("all")[0].bitwiseXOR(F.col("all")[1])
+        two = near.where("size(all) = 2").select("group", "all", F.col("group").bitwiseXOR(both).alias("other"))
+        two = two.where("group < other").join(near.where("size(all) = 2").select(F.col("group").alias("other")), "other", "left_semi")
+        groups = near.where("size(all) > 2").unionByName(two.select("group", "all"))
+        groups = materialize(spark, groups.select("group", F.explode("all").alias("key")), "open-groups")
+        # stars stand for the links found so far, so components aren't found again from all of them nor from links within them
+        candidates = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(between(links(groups, "near-links"), joined))
+        discard(spark, of_key, near, groups)
     joined = materialize(spark, connected_components(spark, candidates, "candidates").select("node", F.col("root").alias("group")), "candidate-groups")
-    discard(spark, counted, near)
+    discard(spark, counted)
     joined = joined.join(whole.select("node", "row", "n"), "node")
     rows = materialize(spark, joined.select("group", "node", "row", F.greatest(F.lit(1), F.ceil(F.col("n") / SHINGLES)).cast("long").alias("weight")), "candidate-rows")
     sizes = materialize(spark, rows.groupBy("group").agg(F.sum("weight").alias("size")), "candidate-sizes")
