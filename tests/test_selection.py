@@ -32,3 +32,19 @@ def test_equal_sentences_tie_in_any_order_of_their_words(spark):
 
 def features_frame(spark, rows):
     return spark.createDataFrame([(r.question_id, r.answer_id, r.sentence_id, r.score) for r in rows], "question_id long, answer_id long, sentence_id int, score double")
+
+
+def test_places_of_an_answer_of_over_ten_thousand_sentences(spark, tmp_path):
+    """Positions of the first answer go beyond those of the second one; places follow answers."""
+    long = " ".join(f"Word{i % 7} other{i % 5} thing." for i in range(10_020))
+    spark.createDataFrame([(1, 0, "user", "Which word?"), (1, 1, "assistant", long), (1, 2, "assistant", "Word1 other2. Thing word3. Next word4.")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = parity.connect(str(tmp_path / "none"))
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    rows = corpus.sentences(corpus.answers(spark.read.parquet(f"{tmp_path}/conversations.parquet")))
+    kept = select.fill_gaps
+    try:
+        select.fill_gaps = lambda chosen: rows
+        got = plans.queries()["position_order"](spark, str(tmp_path)).orderBy("place").collect()
+    finally:
+        select.fill_gaps = kept
+    assert [(r.answer_id, r.sentence_id) for r in got] == sorted((r.answer_id, r.sentence_id) for r in got) and len(got) == 10_023
